@@ -32,7 +32,7 @@ SHARE = 75
 CACHE_LIMIT = 400_000
 
 _RNG = np.random.default_rng(20240601)
-_FACTORS = _RNG.integers(0, 2**63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 2**31, ORDERS * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WEIGHTS = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict[bytes, int] = {}
 
@@ -52,8 +52,9 @@ def shingles(text: str | None) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     if len(_WORDS) > CACHE_LIMIT:
         _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _WORDS:
+            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     total = h[:n] * _WEIGHTS[0]
@@ -63,15 +64,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(_FACTORS), np.uint64)
-    for at in range(0, len(s), 4096):
-        part = (s[at : at + 4096, None] * _FACTORS[None, :]).min(axis=0)
-        out = part if at == 0 else np.minimum(out, part)
+    """Least value of each multiplicative hash over the shingles, 32 bits each."""
+    x, out = (s >> np.uint64(32)).astype(np.uint32), np.full(len(_FACTORS), 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 1024):
+        part = _FACTORS[:, None] * x[None, at : at + 1024]
+        out = np.minimum(out, part.min(axis=1))
     return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null: no words), signature (binary, 8 bytes a value)."""
+    """doc_id, n_shingles, set_hash (null: no words), signature (binary, 4 bytes a value)."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,7 @@ def _orders(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = b"".join(batch.column("signature").to_pylist())
-            sig = np.frombuffer(raw, np.uint64).reshape(-1, ORDERS, DEPTH)
+            sig = np.frombuffer(raw, np.uint32).astype(np.uint64).reshape(-1, ORDERS, DEPTH)
             n = len(sig)
             region = _mix(sig[:, :, 0] + np.arange(ORDERS, dtype=np.uint64)[None, :])
             for j in range(1, DEPTH):

@@ -46,7 +46,7 @@ class Encoder:
         wanted = set().union(*(c for c in chunks if c))
         if len(self.cache) > CACHE_LIMIT:
             self.cache.clear()
-        new = list(wanted - self.cache.keys())
+        new = [c for c in wanted if c not in self.cache]
         self.cache.update(zip(new, self._encode(new)))
         get = self.cache.__getitem__
         return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
