@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lexforge.plans import analytics, retrieval
+
+QUERIES: dict = {**retrieval.QUERIES, **analytics.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **analytics.ORACLES}
 FLAGSHIP = "bm25_search"
