@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 
 #: White space with the run of other characters after it. Both vocabularies used here start a
@@ -12,8 +11,8 @@ from array import array
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: Control characters that Python takes for white space and the tokenizers do not.
 ODD = re.compile(r"[\x1c-\x1f]")
-#: Cached chunks per worker, about 100 MB.
-CACHE_LIMIT = 500_000
+#: Cached chunks per worker, about 150 MB.
+CACHE_LIMIT = 800_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -31,6 +30,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # of words with the space before them
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -42,14 +42,34 @@ class Encoder:
         return out
 
     def _part(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
-        wanted = set().union(*(c for c in chunks if c))
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache.clear()
-        new = [c for c in wanted if c not in self.cache]
+        """Texts of words parted by one space or one line end are cut there: a word takes the space
+        before it, and a line end is a token of its own or none. Other texts are cut by CHUNK."""
+        plain, chunked = {}, {}
+        begin, after, loose = set(), set(), set()
+        for i, t in enumerate(texts):
+            lines = [x.split(" ") for x in t.split("\n")]
+            if sum(map(len, lines)) == len(t.split()) and not any("" in x for x in lines) and not ODD.search(t):
+                plain[i] = lines
+                begin.update([x[0] for x in lines])
+                for x in lines:
+                    after.update(x[1:])
+            else:
+                chunked[i] = [t] if ODD.search(t) else CHUNK.findall(t)
+                loose.update(chunked[i])
+        if len(self.cache) + len(self.spaced) > CACHE_LIMIT:
+            self.cache.clear(), self.spaced.clear()
+        new = [c for c in {*begin, *loose, "\n"} if c not in self.cache]
         self.cache.update(zip(new, self._encode(new)))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+        new = [c for c in after if c not in self.spaced]
+        self.spaced.update(zip(new, self._encode([" " + c for c in new])))
+        get, spaced, end = self.cache.__getitem__, self.spaced.__getitem__, self.cache["\n"]
+        out = []
+        for i in range(len(texts)):
+            if i in plain:
+                out.append(end.join([b"".join([get(x[0]), *map(spaced, x[1:])]) for x in plain[i]]))
+            else:
+                out.append(b"".join(map(get, chunked[i])))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -57,7 +77,3 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
-
-
-def nfc_sensitive(text: str) -> bool:
-    return not text.isascii() and not unicodedata.is_normalized("NFC", text)
