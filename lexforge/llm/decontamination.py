@@ -56,6 +56,14 @@ def fingerprints(hashes: Column) -> Column:
     return let(hashes, lambda hs: F.when(F.size(hs) >= SPAN, let(let(grams(hs), least), distinct)))
 
 
+def own_grams(hashes: Column, m: int) -> Column:
+    """Every gram of ``m`` words, for items of just that length."""
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(hashes) - m, F.lit(0))),
+        lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + j) for j in range(m)]).alias("h"), F.lit(m).alias("n"), i.alias("p")),
+    )
+
+
 def _window(ws: Column, start: Column, n: int | Column) -> Column:
     return F.array_join(F.slice(ws, start + 1, n), " ")
 
@@ -87,11 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def attempts(hs: Column) -> Column:
         tries = F.transform(F.coalesce(fingerprints(hs), F.array()), lambda f: F.struct(f.h.alias("h"), F.lit(SPAN).alias("n"), f.p.alias("p")))
         for m in short:
-            own = F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(hs) - m, F.lit(0))),
-                lambda i, m=m: F.struct(F.xxhash64(*[F.get(hs, i + j) for j in range(m)]).alias("h"), F.lit(m).alias("n"), i.alias("p")),
-            )
-            tries = F.concat(tries, F.when(F.size(hs) >= m, own).otherwise(F.array().cast(TRIES)))
+            tries = F.concat(tries, F.when(F.size(hs) >= m, own_grams(hs, m)).otherwise(F.array().cast(TRIES)))
         return tries
 
     split = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("ws"))

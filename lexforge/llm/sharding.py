@@ -60,8 +60,8 @@ def minimax(sizes: list[int], shards: int) -> tuple[int, list[int]]:
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs(doc_id, text)``.
 
-    size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts, and all null texts, share a
-    shard. Slots number each shard's rows without gaps, by group and within it by doc_id. Repeated
+    size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard; a
+    null text is as an empty one. Slots number each shard's rows without gaps, by group and within it by doc_id. Repeated
     rows each get a slot; an empty table gives no rows; other columns are ignored. The crc32 of a
     null text is that of an empty one.
     """
@@ -72,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
             "doc_id",
             (F.octet_length(raw) + 8).cast("bigint").alias("size"),
             F.crc32(raw).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64("text"), 64 - (GROUPS.bit_length() - 1)).cast("int").alias("bucket"),
+            F.shiftrightunsigned(F.xxhash64(raw), 64 - (GROUPS.bit_length() - 1)).cast("int").alias("bucket"),
         )
     )
     stats = sorted(rows.groupBy("bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())

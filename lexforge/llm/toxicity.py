@@ -97,9 +97,13 @@ def features(text: str | None, model: dict, words: Scores) -> list[float]:
     return [evidence / 10, min(significant, 100) / 10, best / 10, second / 10, third / 10]
 
 
+def _stems(words, n: int):
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    stems = [_stems(words, n) for n in STEMS]
     texts = rows.groupBy("text").agg(F.max("y").alias("y"))
     units = texts.select("y", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word"))
     return units.groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
