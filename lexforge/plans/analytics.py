@@ -134,12 +134,12 @@ def win_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with w as (select date_trunc('week', o_orderdate)::date::varchar as week, count(*) n, avg(o_totalprice) mean from orders group by 1)
-select week, n, round(mean, 4) mean, round(mean - lag(mean) over (order by week), 4) change from w""")
+select week, n, round(mean, 2) mean, round(mean - lag(mean) over (order by week), 2) change from w""")
 def win_week_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("week")
     w = table(spark, sf_dir, "orders").groupBy(week).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"))
     change = F.col("mean") - F.lag("mean").over(Window.partitionBy().orderBy("week"))  # one row a week
-    return w.select("week", "n", F.round("mean", 4).alias("mean"), F.round(change, 4).alias("change"))
+    return w.select("week", "n", F.round("mean", 2).alias("mean"), F.round(change, 2).alias("change"))
 
 
 @query("""select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 5""")
