@@ -25,18 +25,24 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_cla
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the last weight is the intercept. Columns of x should be near unit scale."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method with step halving; the last weight is the intercept.
+
+    The ridge and the halving keep weights finite where the classes part cleanly. Columns of x should
+    be near unit scale.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.ones(len(x)) if weight is None else weight
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+    n, w = np.ones(len(x)) if weight is None else weight, np.zeros(x.shape[1])
+    cost = lambda v: n @ np.logaddexp(0, x @ v) - (n * y) @ (x @ v) + ridge * (v @ v) / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        grad = x.T @ (n * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        size = 1.0
+        while size > 1e-6 and cost(w - size * step) > cost(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return w
 

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.labelled import apply_logistic, logistic
 from lexforge.session import cut
 
 #: Base kinds in their order, then proposed ones.
@@ -116,13 +117,8 @@ def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple
         other = np.clip(((w0 * yes).sum(0) + 3) / (w0.sum(0) + 10), 0.01, 0.99)
         prior = float(np.clip(((n * post).sum() + 5) / (n.sum() + 10), 0.05, 0.95))
     x = np.hstack([np.where(said, 2 * yes - 1, 0), np.eye(len(KINDS))[[k for k, _ in cells]]])
-    w = np.zeros(x.shape[1] + 1)
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        grad = x1.T @ (n * (p - post)) + w
-        w -= np.linalg.solve((x1 * (n * p * (1 - p))[:, None]).T @ x1 + np.eye(len(w)), grad)
-    return dict(zip(cells, (1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))).tolist()))
+    w = logistic(x, post, ridge=1.0, weight=n)
+    return dict(zip(cells, apply_logistic(w, x).tolist()))
 
 
 def train(spans: DataFrame) -> dict[tuple[int, str], float]:
