@@ -102,10 +102,11 @@ def agg_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("k", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), "winner")
 
 
-@query("select lang, round(coalesce(corr(n_chars::double, quality::double), 0), 6) r, count(*) n from documents join labels using (doc_id) group by 1")
+@query("select lang, round(coalesce(covar_pop(n_chars::double, quality::double) / nullif(stddev_pop(n_chars::double) * stddev_pop(quality::double), 0), 0), 6) r, count(*) n from documents join labels using (doc_id) group by 1")
 def agg_bias_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    r = F.corr(F.col("n_chars").cast("double"), F.col("quality").cast("double"))
+    x, y = F.col("n_chars").cast("double"), F.col("quality").cast("double")
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return d.groupBy("lang").agg(F.round(F.coalesce(r, F.lit(0.0)), 6).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
@@ -133,13 +134,13 @@ def win_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sessions(table(spark, sf_dir, "events")).select("user_id", "session_no", "n")
 
 
-@query("""with w as (select date_trunc('week', o_orderdate)::date::varchar as week, count(*) n, avg(o_totalprice) mean from orders group by 1)
-select week, n, round(mean, 2) mean, round(mean - lag(mean) over (order by week), 2) change from w""")
+@query("""with w as (select date_trunc('week', o_orderdate)::date::varchar as week, count(*) n, sum(round(o_totalprice * 100)::bigint)::double / count(*) / 100 mean from orders group by 1)
+select week, n, round(mean, 6) mean, round(mean - lag(mean) over (order by week), 6) change from w""")
 def win_week_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("week")
-    w = table(spark, sf_dir, "orders").groupBy(week).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"))
+    w = table(spark, sf_dir, "orders").groupBy(week).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / F.count(F.lit(1)) / 100).alias("mean"))
     change = F.col("mean") - F.lag("mean").over(Window.partitionBy().orderBy("week"))  # one row a week
-    return w.select("week", "n", F.round("mean", 2).alias("mean"), F.round(change, 2).alias("change"))
+    return w.select("week", "n", F.round("mean", 6).alias("mean"), F.round(change, 6).alias("change"))
 
 
 @query("""select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r <= 5""")

@@ -13,7 +13,7 @@ from lexforge import registry
 from lexforge.operators import bm25, chunking, filters, graph, ranking, scoring
 from lexforge.streaming import events as E
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
