@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int = 2048
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for d, b in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
+            for d, b in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 b += end
                 for at in range(0, len(b), 4 * max_len):
                     p = b[at : at + 4 * max_len]

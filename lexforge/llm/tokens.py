@@ -6,13 +6,27 @@ import os
 import re
 from array import array
 
-#: White space with the run of other characters after it. Both vocabularies used here start a
-#: new token wherever white space follows other characters, so chunks encode on their own.
-CHUNK = re.compile(r"\s*\S+|\s+")
-#: Control characters that Python takes for white space and the tokenizers do not.
-ODD = re.compile(r"[\x1c-\x1f]")
-#: Cached chunks per worker, about 150 MB.
-CACHE_LIMIT = 800_000
+import numpy as np
+import pyarrow as pa
+
+#: ASCII white space, as the tokenizers take it. Both vocabularies used here start a new token
+#: wherever white space follows other characters, so texts cut there encode chunk by chunk.
+SPACE = np.zeros(256, bool)
+SPACE[list(b"\t\n\x0b\x0c\r ")] = True
+#: Signs before which a letter ends its token in both vocabularies, so texts are cut there too.
+STOP = np.zeros(256, bool)
+STOP[list(b".,;:!?")] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Other characters that a tokenizer or Python may take for white space; texts with one are encoded whole.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Their first bytes in UTF-8; only texts that hold one are searched for ODD.
+ODD_BYTES = np.zeros(256, bool)
+ODD_BYTES[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+#: Chunks a generation of the cache; a worker holds two at most, about 200 MB.
+GENERATION = 500_000
+#: Bytes of text cut at once; a longer text is cut alone.
+SLICE = 1 << 23
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -29,47 +43,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # of words with the space before them
+        # Chunks seen of late, and those seen before; frequent ones move on, rare ones fall out.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        batch = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in batch]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 200):
-            out += self._part([t or "" for t in texts[i : i + 200]])
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """ids of each text; a null is empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        n = len(column)
+        if not n:
+            return []
+        ends = np.frombuffer(column.buffers()[1], np.int64, n + 1, 8 * column.offset)
+        out, at = [], 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+            data = column.buffers()[2]
+            raw = np.frombuffer(data, np.uint8)[ends[at] : ends[to]] if data is not None else np.zeros(0, np.uint8)
+            out += self._slice(raw, ends[at : to + 1] - ends[at])
+            at = to
         return out
 
-    def _part(self, texts: list[str]) -> list[bytes]:
-        """Texts of words parted by one space or one line end are cut there: a word takes the space
-        before it, and a line end is a token of its own or none. Other texts are cut by CHUNK."""
-        plain, chunked = {}, {}
-        begin, after, loose = set(), set(), set()
-        for i, t in enumerate(texts):
-            lines = [x.split(" ") for x in t.split("\n")]
-            if sum(map(len, lines)) == len(t.split()) and not any("" in x for x in lines) and not ODD.search(t):
-                plain[i] = lines
-                begin.update([x[0] for x in lines])
-                for x in lines:
-                    after.update(x[1:])
-            else:
-                chunked[i] = [t] if ODD.search(t) else CHUNK.findall(t)
-                loose.update(chunked[i])
-        if len(self.cache) + len(self.spaced) > CACHE_LIMIT:
-            self.cache.clear(), self.spaced.clear()
-        new = [c for c in {*begin, *loose, "\n"} if c not in self.cache]
-        self.cache.update(zip(new, self._encode(new)))
-        new = [c for c in after if c not in self.spaced]
-        self.spaced.update(zip(new, self._encode([" " + c for c in new])))
-        get, spaced, end = self.cache.__getitem__, self.spaced.__getitem__, self.cache["\n"]
-        out = []
-        for i in range(len(texts)):
-            if i in plain:
-                out.append(end.join([b"".join([get(x[0]), *map(spaced, x[1:])]) for x in plain[i]]))
-            else:
-                out.append(b"".join(map(get, chunked[i])))
-        return out
+    def _look_up(self, chunks: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        if len(young) > GENERATION:
+            self.old, self.young = old, young = young, {}
+        found = [young.get(c) for c in chunks]
+        missed = [i for i, x in enumerate(found) if x is None]
+        again = [old.get(chunks[i]) for i in missed]
+        new = [i for i, x in zip(missed, again) if x is None]
+        for i, x in zip(missed, again):
+            found[i] = x
+        for i, x in zip(new, self._encode([chunks[i] for i in new])):
+            found[i] = x
+        # Texts encoded whole are not worth a place.
+        young.update((chunks[i], found[i]) for i in missed if len(chunks[i]) <= 64)
+        return found
+
+    def _slice(self, raw: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Texts side by side in ``raw``, parted at ``ends``; each distinct chunk is looked up once."""
+        begins = ends[:-1]
+        space = SPACE[raw]
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        # A stop after an ASCII letter, or after one of the two-byte letters from U+00C0 to U+00FF.
+        letter = LETTER[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        first[1:] |= STOP[raw[1:]] & letter[:-1]
+        first[begins[begins < ends[1:]]] = True
+        whole = {}
+        suspect = np.flatnonzero(ODD_BYTES[raw])
+        for i in np.unique(np.searchsorted(ends, suspect, side="right") - 1).tolist():
+            text = raw[begins[i] : ends[i + 1]].tobytes()
+            if ODD.search(text.decode()):
+                whole[i] = text
+                first[begins[i] + 1 : ends[i + 1]] = False
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return [b""] * len(begins)
+        edges = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32))
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, edges, pa.py_buffer(raw)]).dictionary_encode()
+        distinct, which = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        ids = self._look_up(distinct)
+        # Lay the ids of all chunks side by side: each id's place in the table is its rank within its chunk.
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, place = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        long = size[which]
+        to = np.cumsum(long)
+        flat = table[np.repeat(place[which] - (to - long), long) + np.arange(to[-1])]
+        cuts = 4 * np.append(0, to)[np.searchsorted(starts, ends)]
+        joined = flat.tobytes()
+        cuts = cuts.tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str) -> Encoder:
