@@ -34,9 +34,17 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     rows, n = values.shape
     if width in (8, 16, 32):
         return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view("u1").reshape(rows, -1)
-    raw = np.ascontiguousarray(values.astype("<u4")).view("u1").reshape(rows, n, 4)
-    bits = np.unpackbits(raw, axis=2, bitorder="little", count=width)
-    return np.packbits(bits.reshape(rows, n * width), axis=1, bitorder="little")
+    groups = -(-n // 8)  # eight values fill ``width`` bytes
+    eight = np.zeros((rows, groups * 8), "<u8")
+    eight[:, :n] = values
+    eight = eight.reshape(rows, groups, 8)
+    lanes = np.zeros((rows, groups, 4), "<u8")
+    for j in range(8):
+        lane, shift = divmod(j * width, 64)
+        lanes[:, :, lane] |= eight[:, :, j] << np.uint64(shift)
+        if shift + width > 64:
+            lanes[:, :, lane + 1] |= eight[:, :, j] >> np.uint64(64 - shift)
+    return lanes.view("u1").reshape(rows, groups, 32)[:, :, :width].reshape(rows, groups * width)[:, : _size(n, width)]
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -45,10 +53,18 @@ def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
         return np.zeros((rows, n), "<u4")
     if width in (8, 16, 32):
         return np.ascontiguousarray(packed).view(f"<u{width // 8}").reshape(rows, n).astype("<u4")
-    bits = np.unpackbits(packed, axis=1, bitorder="little", count=n * width).reshape(rows, n, width)
-    full = np.zeros((rows, n, 32), "u1")
-    full[:, :, :width] = bits
-    return np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(rows, n)
+    groups = -(-n // 8)
+    padded = np.zeros((rows, groups * width), "u1")
+    padded[:, : packed.shape[1]] = packed
+    whole = np.zeros((rows, groups, 32), "u1")
+    whole[:, :, :width] = padded.reshape(rows, groups, width)
+    lanes, out = whole.view("<u8"), np.zeros((rows, groups, 8), "<u8")
+    for j in range(8):
+        lane, shift = divmod(j * width, 64)
+        out[:, :, j] = lanes[:, :, lane] >> np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, j] |= lanes[:, :, lane + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype("<u4").reshape(rows, groups * 8)[:, :n]
 
 
 def _size(n: int, width: int) -> int:
@@ -60,8 +76,8 @@ def _choose(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = deltas.shape[1]
     need = np.frexp(deltas.astype(np.float64))[1].clip(0)  # bit lengths
     top = need.max(axis=1)
-    count = np.zeros((len(deltas), 34), np.int64)
-    np.add.at(count, (np.repeat(np.arange(len(deltas)), n), need.ravel()), 1)
+    cell = need + 34 * np.arange(len(deltas))[:, None]
+    count = np.bincount(cell.ravel(), minlength=34 * len(deltas)).reshape(-1, 34)
     beyond = n - np.cumsum(count, axis=1)  # values needing more than w bits
     w = np.arange(34)
     cost = n * w + beyond * (16 + np.maximum(top[:, None] - w, 0))
@@ -154,7 +170,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
         types, names = [pa.int32(), pa.int32(), long, long, long, pa.binary()], ["part", "segment", "doc_ids", "lengths", "block_starts", "payload"]
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for d, b in zip(ids, coder.encode(batch.column("text").to_pylist())):
+            for d, b in zip(ids, coder.encode(batch.column("text"))):
                 held.append((d, b + end))
                 size += len(b) // 4 + 1
                 if size >= SEGMENT_IDS:
