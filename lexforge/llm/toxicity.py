@@ -36,9 +36,15 @@ WORD = re.compile(r"[^\W\d_]+")
 def segments(at: list[int], value: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of a sequence that is ``drift`` but at ``at``.
 
-    The stack of candidate segments is the linear-time one; only tokens of positive value open one.
+    Candidates lie on a stack. Each links to the nearest one before it with a lower total ahead of it, and
+    the search for a partner follows these links, so that every candidate is passed over once and the
+    whole scan takes linear time. Only tokens of positive value open a candidate.
     """
-    stack: list[list] = []  # first, end, score before, score at end
+    first: list[int] = []
+    end: list[int] = []
+    low: list[float] = []  # totals before and at the end of a candidate
+    high: list[float] = []
+    link: list[int] = []
     total, before = 0.0, 0
     for p, v in zip(at, value):
         total += drift * (p - before)
@@ -46,18 +52,20 @@ def segments(at: list[int], value: list[float], drift: float = DRIFT) -> list[tu
         if v <= 0:
             total += v
             continue
-        new = [p, p + 1, total, total + v]
+        start, under = p, total
         total += v
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+        j = len(low) - 1
+        while j >= 0:
+            if low[j] >= under:
+                j = link[j]
+            elif high[j] < total:
+                start, under, back = first[j], low[j], link[j]
+                del first[j:], end[j:], low[j:], high[j:], link[j:]
+                j = back
+            else:
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
-            del stack[j:]
-        stack.append(new)
-    return [(a, b, r - l) for a, b, l, r in stack]
+        first.append(start), end.append(p + 1), low.append(under), high.append(total), link.append(j)
+    return [(a, b, r - l) for a, b, l, r in zip(first, end, low, high)]
 
 
 class Scores(dict):

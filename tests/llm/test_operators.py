@@ -189,6 +189,13 @@ def test_segments_against_brute_force():
         assert all(sum(s[a:b]) == pytest.approx(x) for a, b, x in found)
 
 
+def test_segments_take_linear_time():
+    # Ever lower totals leave every candidate on the stack: a scan that walks all of them would take hours.
+    n = 400_000
+    found = toxicity.segments(list(range(0, 3 * n, 3)), [1.0] * n, drift=-1.0)
+    assert len(found) == n and all(b - a == 1 for a, b, _ in found)
+
+
 def test_fold():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
 
