@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import word_count
 
 BUDGET = 120
+#: Words a chunk aims at, by kind of content; a longer paragraph than ``MOST`` stands alone, and a tail
+#: of fewer than ``LEAST`` joins the chunk before it in its section.
+TARGET, MOST, LEAST = {"statute": 128, "list": 128, "narrative": 384}, 512, 50
+
+# Headings with the section each begins, and marks of statutes and lists.
+HEADINGS = {
+    "facts": ["FACTUAL BACKGROUND", "BACKGROUND", "FACTS", "FACT"],
+    "law": ["LEGAL FRAMEWORK", "APPLICABLE LAW", "RELEVANT LAW", "LAW"],
+    "analysis": ["ANALYSIS", "DISCUSSION", "REASONING"],
+    "conclusion": ["CONCLUSION", "DECISION", "ORDER", "DISPOSITION"],
+    "issues": ["ISSUES", "ISSUE"],
+    "relief": ["RELIEF", "REMEDY", "DAMAGES"],
+    "overview": ["OVERVIEW"],
+    "introduction": ["INTRODUCTION"],
+    "summary": ["SUMMARY"],
+    "between": ["BETWEEN"],
+    "before": ["BEFORE"],
+}
+NUMBERING = r"(?:[IVXLCDM]+\.?\s+|[A-Z]\.?\s+|[0-9]+\.?\s+)?"
+STATUTE = [r"(?i)(?:s\.|section)\s*[0-9]+", r"\([0-9]+\)\s*[A-Z]", r"(?i)\b(?:shall|must|may not|is prohibited)\b"]
+LIST = r"(?m)^\s*(?:[-•*]|\([a-z]\)|\([ivx]+\)|[0-9]+\.)\s+"
 
 
 def normalise(text: Column) -> Column:
@@ -48,7 +69,75 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budge
 
 def with_overlap(chunks: DataFrame, id_col: str = "doc_id", n: int = 200) -> DataFrame:
     """Each chunk led by the last ``n`` characters of the one before it."""
-    from pyspark.sql import Window
-
     before = F.lag("content").over(Window.partitionBy(id_col).orderBy("chunk_index"))
     return chunks.withColumn("content", F.when(before.isNull(), F.col("content")).otherwise(F.concat(F.right(before, F.lit(n)), F.lit(" "), F.col("content"))))
+
+
+def content_type(text: Column) -> Column:
+    """statute (two of its marks or more), list (three items or more) or narrative."""
+    marks = sum((text.rlike(p).cast("int") for p in STATUTE), F.lit(0))
+    return F.when(marks >= 2, "statute").when(F.size(F.regexp_extract_all(text, F.lit(LIST), F.lit(0))) >= 3, "list").otherwise("narrative")
+
+
+def section_name(text: Column) -> Column:
+    """The section that the first line's heading begins; body without any."""
+    name = F.lit(None).cast("string")
+    for section, marks in reversed(HEADINGS.items()):
+        name = F.when(text.rlike(rf"(?i)^\s*{NUMBERING}(?:{'|'.join(marks)})"), section).otherwise(name)
+    return name
+
+
+def split_sections(text: Column) -> Column:
+    """Pieces of a text that begin at headings; joined, they give the text."""
+    every = "|".join(m for marks in HEADINGS.values() for m in marks)
+    return F.split(text, rf"(?im)(?=^{NUMBERING}(?:{every}))")
+
+
+def paragraphs(text: Column) -> Column:
+    """Paragraphs by their numbers in brackets, else by blank lines; trimmed, without empty ones."""
+    solid = lambda parts: F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    numbered = solid(F.split(text, r"(?=\[[0-9]+\])"))
+    return F.when(F.size(numbered) > 1, numbered).otherwise(solid(F.split(text, "\n\n")))
+
+
+def chunk_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks that cross neither sections nor paragraphs, of a size that fits their kind of content.
+
+    id, section_index, section, content_type, chunk_index (from 0, within the section), content,
+    token_count, first_par and last_par (bracketed numbers, null without). Null and blank texts give none.
+    A short tail joins the chunk before it and is kept where there is none, so no word is lost.
+    """
+    text = normalise(F.coalesce(F.col(text_col), F.lit("")))
+    split = docs.select(id_col, F.filter(split_sections(text), lambda s: s.rlike(r"\S")).alias("pieces"))
+    pieces = split.select(id_col, F.size("pieces").alias("n"), F.posexplode("pieces").alias("section_index", "piece"))
+    untitled = F.when(F.col("n") > 1, "preamble").otherwise("body")
+    named = pieces.select(id_col, "section_index", F.coalesce(section_name(F.col("piece")), untitled).alias("section"), content_type(F.col("piece")).alias("content_type"), paragraphs(F.col("piece")).alias("pars"))
+    target = F.when(F.col("content_type") == "narrative", TARGET["narrative"]).otherwise(TARGET["statute"])
+    chunk_type = "struct<text:string,n:int>"
+    state = f"struct<done:array<{chunk_type}>,open:{chunk_type}>"
+    none = F.struct(F.lit("").alias("text"), F.lit(0).alias("n")).cast(chunk_type)
+
+    def flush(acc: Column) -> Column:
+        return F.when(acc["open"]["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.when(a["n"] == 0, b).otherwise(F.struct(F.concat(a["text"], F.lit("\n\n"), b["text"]).alias("text"), (a["n"] + b["n"]).alias("n")))
+
+    def step(acc: Column, p: Column) -> Column:
+        one = F.struct(p.alias("text"), word_count(p).alias("n")).cast(chunk_type)
+        alone = F.struct(F.concat(flush(acc), F.array(one)).alias("done"), none.alias("open"))
+        closed = F.struct(flush(acc).alias("done"), one.alias("open"))
+        grown = F.struct(acc["done"].alias("done"), joined(acc["open"], one).alias("open"))
+        fits = acc["open"]["n"] + one["n"] <= target
+        return F.when(one["n"] > MOST, alone).when(fits | (acc["open"]["n"] == 0), grown).otherwise(closed).cast(state)
+
+    def finish(acc: Column) -> Column:
+        n, last = F.size(acc["done"]), F.get(acc["done"], F.size(acc["done"]) - 1)
+        merge = (acc["open"]["n"] > 0) & (acc["open"]["n"] < LEAST) & (n > 0)
+        return F.when(merge, F.concat(F.slice(acc["done"], F.lit(1), n - 1), F.array(joined(last, acc["open"]).cast(chunk_type)))).otherwise(flush(acc))
+
+    start = F.struct(F.array().cast(f"array<{chunk_type}>").alias("done"), none.alias("open")).cast(state)
+    rows = named.select(id_col, "section_index", "section", "content_type", F.posexplode(F.aggregate("pars", start, step, finish)).alias("chunk_index", "c"))
+    numbers = F.regexp_extract_all(F.col("c.text"), F.lit(r"(?m)^\[([0-9]+)\]"), F.lit(1))
+    ends = [F.get(numbers, i).try_cast("bigint") for i in (F.lit(0), F.size(numbers) - 1)]
+    return rows.select(id_col, "section_index", "section", "content_type", "chunk_index", F.col("c.text").alias("content"), F.col("c.n").alias("token_count"), ends[0].alias("first_par"), ends[1].alias("last_par"))

@@ -177,12 +177,12 @@ def sort_recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
 
 
-@query("""with c as (select o_orderkey k, o_orderpriority p, 0 v from orders union all select o_orderkey, 'CHANGED', 1 from orders where o_orderkey % 7 = 0)
+@query("""with c as (select o_orderkey k, o_orderpriority p, 0 v from orders union all select o_orderkey, 'CHANGED', 1 from orders where o_orderstatus = 'F')
 select k, arg_max(p, v) p from c group by 1""")
 def sink_upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     base = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), F.lit(0).alias("v"))
-    new = o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("k"), F.lit("CHANGED").alias("p"), F.lit(1).alias("v"))
+    new = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit("CHANGED").alias("p"), F.lit(1).alias("v"))
     return filters.upsert(base, new, "k", "v").select("k", "p")
 
 

@@ -251,13 +251,13 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with l as (select doc_id, text, lang, 'd' kind, n_chars::double score from documents union all
-select doc_id, text, lang, 's', n_chars + 0.5 from documents where doc_id % 2 = 0),
+select doc_id, text, lang, 's', n_chars + 0.5 from documents),
 r as (select *, row_number() over (partition by md5(coalesce(text, '')) order by score desc, doc_id) r from l)
 select doc_id, kind, score from r where r = 1""")
 def win_dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     a = docs.select("doc_id", "text", F.lit("d").alias("kind"), F.col("n_chars").cast("double").alias("score"))
-    b = docs.where("doc_id % 2 = 0").select("doc_id", "text", F.lit("s").alias("kind"), (F.col("n_chars") + F.lit(0.5)).alias("score"))
+    b = docs.select("doc_id", "text", F.lit("s").alias("kind"), (F.col("n_chars") + F.lit(0.5)).alias("score"))
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     # The best row of each text by a partially combined maximum, so that no group of copies meets in one task.
     best = a.unionByName(b).groupBy(key.alias("k")).agg(F.max_by(F.struct("doc_id", "kind", "score"), F.struct("score", -F.col("doc_id"))).alias("r"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexforge.plans import analytics, retrieval
+from lexforge.plans import analytics, answers, retrieval
 
-QUERIES: dict = {**retrieval.QUERIES, **analytics.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **analytics.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **analytics.QUERIES, **answers.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **analytics.ORACLES, **answers.ORACLES}
 FLAGSHIP = "bm25_search"

@@ -93,6 +93,28 @@ def test_chunks_lose_no_words(spark):
     assert " ".join(r.content for r in got).split() == ("One two. Three four five! " * 90).split() and max(r.token_count for r in got) <= 50
 
 
+def test_sections(spark):
+    text = "Before all.\n\n\nFACTS\n[1] He worked. " + "w " * 60 + "\n[2] " + "x " * 600 + "\n[3] Short tail.\nIV. ANALYSIS\nThe court shall see section 5.\n\n" + "y " * 130 + "\n\nend"
+    d = spark.createDataFrame([(1, text), (2, None), (3, " \n "), (4, "just words"), (4, "just words")], "doc_id int, text string")
+    got = chunking.chunk_sections(d).orderBy("doc_id", "section_index", "chunk_index").collect()
+    one = [r for r in got if r.doc_id == 1]
+    assert [(r.section, r.content_type, r.first_par, r.last_par) for r in one] == [
+        ("before", "narrative", None, None), ("facts", "narrative", 1, 1), ("facts", "narrative", 2, 3), ("analysis", "statute", None, None), ("analysis", "statute", None, None)]
+    assert " ".join(r.content for r in one).split() == text.split()
+    assert [r.content for r in got if r.doc_id == 4] == ["just words"] * 2 and {r.doc_id for r in got} == {1, 4}
+    assert chunking.chunk_sections(d.limit(0)).count() == 0
+
+
+def test_answers(spark):
+    from lexforge.operators import answers as A
+
+    d = spark.createDataFrame([(1, "The dog barked, see 2020 ONSC 12", "A dog that BARKED; see 2020 onsc 12"), (2, "cats", None), (3, "it", "dog"), (4, None, "dog")], "id int, answer string, sources string")
+    got = {r.id: (r.support, r.citations, r.action) for r in A.confidence(d).collect()}
+    assert got[1] == (1.0, 1.0, "pass") and got[2] == (0.0, None, "refuse") and got[3] == got[4] == (1.0, None, "pass")
+    h = spark.createDataFrame([(1, 1, 0.2, 1, 9), (1, 2, 0.5, 1, 80), (1, 3, 0.52, 1, 80), (1, 4, 0.9, 1, 80), (2, 1, 0.1, 0, 0)], "query_id int, hop int, completeness double, n_gaps int, new_words int")
+    assert [(r.query_id, r.hop, r.reason) for r in A.until_stop(A.stop_reason(h)).orderBy("query_id", "hop").collect()] == [(1, 1, None), (1, 2, None), (1, 3, "plateau"), (2, 1, "no_gaps")]
+
+
 def test_stream_windows(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet")
     e.write.parquet(str(tmp_path / "in"))
