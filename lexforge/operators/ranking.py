@@ -2,33 +2,100 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import cosine, dot_product, euclidean, simple_words
+from lexforge.functions.text import simple_words
 from lexforge.session import importable
 
 RRF_K = 60
-METRICS = {"cosine": cosine, "dotproduct": dot_product, "euclidean": lambda a, b: -euclidean(a, b)}
+METRICS = ("cosine", "dotproduct", "euclidean")
+VECTORS_PER_BLOCK, QUERIES_AT_ONCE = 2048, 1024
+
+
+def _near(q: np.ndarray, c: np.ndarray, metric: str, out: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that hold the k best rows of ``c`` for each row of ``q``, with slack for the last digits.
+
+    ``out`` marks pairs that take no part.
+    """
+    dot, qq, cc = q @ c.T, (q * q).sum(axis=1)[:, None], (c * c).sum(axis=1)[None, :]
+    if metric == "cosine":
+        near, slack = dot / (np.sqrt(qq) * np.sqrt(cc)), 1e-8
+    elif metric == "dotproduct":
+        near, slack = dot, 1e-8 + 1e-12 * np.sqrt(qq) * np.sqrt(cc.max(initial=0))
+    else:  # squares are compared: their error follows the norms, that of a small root does not
+        near, slack = 2 * dot - qq - cc, 1e-12 * (qq + cc.max(initial=0))
+    if len(c) <= k or not np.isfinite(near[~out]).all():
+        return np.nonzero(~out)
+    near[out] = -np.inf
+    bar = np.partition(near, len(c) - k, axis=1)[:, len(c) - k, None]
+    if metric == "euclidean":
+        bar = -((np.sqrt(np.maximum(slack - bar, 0)) + 1e-8) ** 2)
+    return np.nonzero(~out & (near >= bar - slack))
+
+
+def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of paired rows; equal pairs score equally wherever they stand."""
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    if metric == "euclidean":
+        return -np.sqrt(dot(q - c, q - c))
+    return dot(q, c) if metric == "dotproduct" else dot(q, c) / (np.sqrt(dot(q, q)) * np.sqrt(dot(c, c)))
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", limit: int = 10_000) -> DataFrame:
     """query_id, id, score, rank of the k nearest vectors; a vector does not match itself.
 
-    ``queries(query_id, q)`` is a stated set of at most ``limit`` rows: it is counted, then broadcast as
-    one array, so each vector is read once and compared in place. Larger sets are refused; split them.
+    Any number of ``queries(query_id, q)`` and ``vectors(id, v)``: queries are dealt by hash into blocks of
+    about ``limit`` rows and vectors into blocks of ``VECTORS_PER_BLOCK``, every pair of blocks is one group,
+    and the k best of each group are merged. Pairs of unequal length, with a null or without a cosine have
+    no score. Ties at 9 decimals go to the smaller id.
     """
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries; run them in blocks")
-    block = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    pairs = vectors.select("id", "v").join(F.broadcast(block), how="cross").select("id", "v", F.explode("block").alias("x"))
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "id", METRICS[metric](F.col("x.q"), F.col("v")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    kept = scored.where("score is not null and query_id != id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    importable(vectors.sparkSession)
+    whole = lambda d, i, v: d.where(F.col(i).isNotNull() & F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull())).select(i, F.col(v).cast("array<double>").alias(v))
+    queries, vectors = whole(queries, "query_id", "q"), whole(vectors, "id", "v")
+    nq, nc = max(1, math.ceil(queries.count() / limit)), max(1, math.ceil(vectors.count() / VECTORS_PER_BLOCK))
+    block = lambda i, v, n: F.pmod(F.xxhash64(i, v), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "q", block("query_id", "q", nq).alias("qb"), every(nc).alias("cb"))
+    right = vectors.select("id", "v", every(nq).alias("qb"), block("id", "v", nc).alias("cb"))
+    names = ["query_id", "id", "score", "by"]
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({n: [] for n in names})]
+        order = np.unique(c.id.to_numpy(), return_inverse=True)[1]
+        c_len = c.v.map(len).to_numpy()
+        for at in range(0, len(q) if len(c) else 0, QUERIES_AT_ONCE):
+            part = q.iloc[at : at + QUERIES_AT_ONCE]
+            q_len = part.q.map(len).to_numpy()
+            for n in sorted(set(q_len) & set(c_len)):
+                qi, ci = np.flatnonzero(q_len == n), np.flatnonzero(c_len == n)
+                x, y = (np.stack([*v]).reshape(len(v), n) for v in (part.q.iloc[qi], c.v.iloc[ci]))
+                out = part.query_id.to_numpy()[qi][:, None] == c.id.to_numpy()[ci][None, :]
+                if metric == "cosine":
+                    length = lambda m: np.sqrt((m * m).sum(axis=1))
+                    out |= length(x)[:, None] * length(y)[None, :] == 0
+                with np.errstate(all="ignore"):
+                    i, j = _near(x, y, metric, out, k)
+                    score = np.concatenate([np.zeros(0), *(_scores(x[i[s : s + 65536]], y[j[s : s + 65536]], metric) for s in range(0, len(i), 65536))])
+                by = np.round(score, 9) + 0.0
+                # As Spark sorts, NaN comes before all numbers.
+                best = np.lexsort((order[ci[j]], -by, ~np.isnan(by), i))
+                i, j, score, by = i[best], j[best], score[best], by[best]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append(pd.DataFrame(dict(zip(names, (part.query_id.to_numpy()[qi[i[top]]], c.id.to_numpy()[ci[j[top]]], score[top], by[top])))))
+        return pd.concat(found[1:] or found)
+
+    kind = dict(left.dtypes) | dict(right.dtypes)
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, f"query_id {kind['query_id']}, id {kind['id']}, score double, by double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("by"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("by")
 
 
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:

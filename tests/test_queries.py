@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import subprocess
 import sys
 
@@ -70,6 +71,28 @@ def test_rrf_and_mmr(spark):
     assert [r.id for r in ranking.mmr(c, 2, 0.5).orderBy("pick").collect()] == ["1", "3"]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dotproduct", "euclidean"])
+def test_vectors_beyond_a_block(spark, monkeypatch, metric):
+    monkeypatch.setattr(ranking, "VECTORS_PER_BLOCK", 40)
+    rng = random.Random(7)
+    v = {i: [rng.choice([-1.0, 0.5, 2.0, rng.random()]) for _ in range(4)] for i in range(150)} | {150: [0.0] * 4, 151: [1.0] * 3, 152: [1.0] * 3}
+    rows_ = spark.createDataFrame([*v.items(), (153, None), (154, [None] * 4)], "id bigint, v array<double>")
+    got = {}
+    for r in ranking.vector_top_k(rows_.selectExpr("id query_id", "v q"), rows_, 3, metric, limit=20).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, round(r.score, 9)))
+
+    def score(a, b):
+        if len(a) != len(b):
+            return None
+        dot, norm = sum(x * y for x, y in zip(a, b)), math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return {"cosine": dot / norm if norm else None, "dotproduct": dot, "euclidean": -math.dist(a, b)}[metric]
+
+    for i in v:
+        all_ = [(j, round(s, 9) + 0.0) for j in v if j != i and (s := score(v[i], v[j])) is not None]
+        assert got.get(i, []) == sorted(all_, key=lambda x: (-x[1], x[0]))[:3]
+    assert ranking.vector_top_k(rows_.selectExpr("id query_id", "v q").limit(0), rows_, 3, metric).count() == 0
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("x", "y", "S")], "subject string, object string, relation string")
     assert {r.id: r.depth for r in graph.bfs(e, spark.createDataFrame([("a",)], "id string"), 2).collect()} == {"a": 0, "b": 1, "c": 2}
