@@ -17,7 +17,7 @@ from lexforge.session import cut
 
 #: Base kinds in their order, then proposed ones.
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("local_phone", "national_id", "spelled_email")
+EXTRA = ("local_phone", "national_id", "spelled_email", "inner_card")
 KINDS = BASE + EXTRA
 #: Java patterns. Possessive and anchored to the start of a run where that cannot change a match, so
 #: that long runs take linear time.
@@ -29,6 +29,8 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}){1,4}",
+    # A card within a longer run: the first digit is matched, the whole is looked at, so that the next may overlap it.
+    "inner_card": r"(?<![0-9])(?=([0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}(?![0-9])|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])|[0-9]{13,19}(?![0-9])))[0-9]",
 }
 #: A text without this has no match of the kind.
 HINTS = {"email": "@", "phone": "+", "spelled_email": "at"}
@@ -43,7 +45,7 @@ def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: p.try_cast("double") <= 255)
-    if kind == "card":
+    if kind in ("card", "inner_card"):
         return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
@@ -72,7 +74,7 @@ def _votes(text: Column, kind: str, m: Column, start: Column, end: Column) -> Co
 def _spans(text: Column, kind: str) -> Column:
     """Valid matches of one kind: the pieces between matches and the matches give the positions."""
     pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "inner_card"))).alias("match"))
 
     def step(acc: Column, x: Column) -> Column:
         m = x["match"]
@@ -80,7 +82,8 @@ def _spans(text: Column, kind: str) -> Column:
         end = start + F.length(m)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), _votes(text, kind, m, start, end).alias("votes"))
         more = F.when(m.isNotNull() & F.coalesce(_valid(kind, m), F.lit(False)), F.concat(acc["spans"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["spans"])
-        return F.struct(F.coalesce(end, start).alias("pos"), more.alias("spans"))
+        past = start + 1 if kind == "inner_card" else end
+        return F.struct(F.when(m.isNotNull(), past).otherwise(start).alias("pos"), more.alias("spans"))
 
     none = F.array().cast(f"array<{SPAN}>")
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda a: a["spans"])
@@ -88,10 +91,13 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(hint, found).otherwise(none)
 
 
-def candidates(text: Column) -> Column:
-    """All valid spans of a text, by start, then kind; proposals that overlap a base span are left out."""
+def candidates(text: Column, proposed: tuple[str, ...] = EXTRA) -> Column:
+    """All valid spans of a text, by start, then kind; proposals that overlap a base span are left out.
+
+    Proposals may overlap each other.
+    """
     base = F.concat(*[_spans(text, k) for k in BASE])
-    extra = F.concat(*[_spans(text, k) for k in EXTRA])
+    extra = F.concat(*[_spans(text, k) for k in proposed])
     both = F.get(F.transform(F.array(F.struct(base.alias("b"), extra.alias("e"))), lambda s: F.concat(s["b"], F.filter(s["e"], lambda x: ~F.exists(s["b"], lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))), F.lit(0))
     return F.array_sort(both)
 
@@ -156,9 +162,12 @@ def detect(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every accepted span of text replaced by its kind in brackets; other columns as they are."""
-    spans = candidates(F.coalesce("text", F.lit("")))
+def redact(docs: DataFrame, inner_cards: bool = False) -> DataFrame:
+    """``docs`` with every accepted span of text replaced by its kind in brackets; other columns as they are.
+
+    Cards within longer runs of digits are replaced with ``inner_cards`` only, as the pipeline asks for.
+    """
+    spans = candidates(F.coalesce("text", F.lit("")), EXTRA if inner_cards else EXTRA[:-1])
     model = train(docs.select(spans.alias("spans")))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 

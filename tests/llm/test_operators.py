@@ -283,6 +283,19 @@ def test_pii(spark, docs, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_cards_within_runs(spark, docs):
+    import corpus_pipeline
+
+    cards = ["4111 1111 1111 1111", "4845168114407329", "3782 822463 10005"]
+    odd = [f"{cards[0]} 12/27", f"7536784127813050 {cards[1]}", f"order 17 {cards[2]} x", f"1234 {cards[0]} 5105-1051-0510-5100 9", "1111 2222 3333 4445 6666", "no 4111 1111 1111 11112 1"]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string"))
+    got = {r.doc_id - 10**6: (r.spans, r.n_card, r.base_sha256) for r in pii.detect(every).where(f"doc_id >= {10**6}").collect()}
+    assert [got[i][0] for i in range(6)] == ["inner_card:0:19", "inner_card:0:16,inner_card:17:33", "inner_card:9:26", "inner_card:5:24,inner_card:25:44", "", ""]
+    assert all(v[1:] == (0, hashlib.sha256(b"").hexdigest()) for v in got.values())
+    kept = corpus_pipeline.redact_private(spark, every.withColumn("n_chars", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)), SF)
+    assert [r.text for r in kept.where(f"doc_id >= {10**6}").orderBy("doc_id").collect()][:4] == ["[INNER_CARD] 12/27", "[INNER_CARD] [INNER_CARD]", "order 17 [INNER_CARD] x", "1234 [INNER_CARD] [INNER_CARD] 9"]
+
+
 def test_em_trusts_labelers_that_agree():
     p = pii.estimate({(4, "ayyy"): 50, (4, "anan"): 50})
     assert p[4, "ayyy"] > 0.5 > p[4, "anan"]
