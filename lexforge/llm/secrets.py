@@ -1,8 +1,8 @@
 """Secrets in texts: assignments, access keys, hex keys, and runs of high entropy.
 
 The first three are patterns. Beside them, candidate strings are judged by the Shannon entropy of a
-window sliding over them, one character class at a time, with counts updated a character a step;
-strings that an allow-list knows as harmless are suppressed.
+window sliding over them, in every character class, with counts updated a character a step; strings
+and parts of paths that an allow-list knows as harmless are suppressed, their neighbours are not.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,16 +42,35 @@ ALLOW = (
     re.compile(r"(.)\1+"),
     re.compile(r"(?i).*(example|sample|dummy|placeholder|xxxx).*"),
 )
+#: Those that speak of one part of a path only.
+ALLOW_PART = (ALLOW[0], ALLOW[3], ALLOW[4])
+PART = re.compile(r"[^/]+")
 
 
-def entropy_runs(s: str, window: int = WINDOW) -> list[tuple[int, int, str]]:
-    """Maximal runs (start, end, class) covered by windows within one class that reach its entropy.
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, sorted; spans that touch become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def within(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Those of merged spans that overlap [a, b)."""
+    return spans[bisect_right(spans, a, key=lambda x: x[1]) : bisect_left(spans, b, key=lambda x: x[0])]
+
+
+def entropy_runs(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Maximal runs (start, end) covered by windows within any one class that reach its entropy.
 
     Sum of c log c over the counts is updated as one character enters and one leaves.
     """
     part = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
-    for name, chars, least in CLASSES:
-        runs: list[list[int]] = []
+    runs: list[tuple[int, int]] = []
+    for _, chars, least in CLASSES:
         at = 0
         while at < len(s):
             if s[at] not in chars:
@@ -69,14 +89,29 @@ def entropy_runs(s: str, window: int = WINDOW) -> list[tuple[int, int, str]]:
                     total += part[c - 1] - part[c]
                     counts[s[i - window]] = c - 1
                 if i - at >= window - 1 and math.log2(window) - total / window >= least:
-                    if runs and runs[-1][1] >= i - window + 1:
-                        runs[-1][1] = i + 1
+                    if runs and runs[-1][0] <= i - window + 1 <= runs[-1][1]:
+                        runs[-1] = (runs[-1][0], i + 1)
                     else:
-                        runs.append([i - window + 1, i + 1])
+                        runs.append((i - window + 1, i + 1))
             at = end
-        if runs:
-            return [(a, b, name) for a, b in runs]
-    return []
+    return merged(runs)
+
+
+def remaining(s: str, a: int, b: int, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of the run s[a:b] beside ``gone`` (merged). An untouched run stays as it is; parts of a
+    cut one lose slashes at their ends, and stand from half a window on unless the allow-list knows them."""
+    touching = within(gone, a, b)
+    if not touching:
+        return [(a, b)]
+    parts, at = [], a
+    for x, y in [*touching, (b, b)]:
+        if at < x:
+            part = s[at:x]
+            start, end = at + len(part) - len(part.lstrip("/")), at + len(part.rstrip("/"))
+            if end - start >= WINDOW // 2 and not any(r.fullmatch(s, start, end) for r in ALLOW):
+                parts.append((start, end))
+        at = max(at, y)
+    return parts
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -90,14 +125,18 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = sorted(b[1:] for b in found)
+    base = merged([b[1:] for b in found])
     for m in CANDIDATE.finditer(text):
-        if any(a.fullmatch(m[0]) for a in ALLOW):
+        s, at = m[0], m.start()
+        if any(a.fullmatch(s) for a in ALLOW if a not in ALLOW_PART):
+            continue
+        runs = entropy_runs(s)
+        if not runs:
             continue
-        for a, b, _ in entropy_runs(m[0]):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y in base):
-                found.append(("entropy", a, b))
+        gone = [(p.start(), p.end()) for p in PART.finditer(s) if any(a.fullmatch(p[0]) for a in ALLOW_PART)]
+        gone = merged(gone + [(x - at, y - at) for x, y in within(base, at, m.end())])
+        for run in runs:
+            found += [("entropy", a + at, b + at) for a, b in remaining(s, *run, gone)]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 

@@ -220,6 +220,18 @@ def test_secrets(docs, empty):
     assert secrets.find("thisisalongwordofnoentropyatall 123456789012345678901234") == [("hex", 32, 56)]
 
 
+def test_secrets_beside_others():
+    token, hexes = "Zq8vT2mXw7Lr4Kd9Bn3Py6Hs1", "d41d8cd98f00b204e9800998ecf8427e"
+    assert secrets.find(f"/{hexes}/{token}") == [("hex", 1, 33), ("entropy", 34, 59)]
+    assert secrets.find(f"{token}/{hexes}/{token[::-1]}") == [("entropy", 0, 25), ("hex", 26, 58), ("entropy", 59, 84)]
+    assert secrets.find(f"sha1-{hexes}") == [("hex", 5, 37)]
+    assert secrets.find(f"/samples/{token}") == [("entropy", 9, 34)]
+    assert secrets.find(f"/sample{token}/readme") == []
+    assert secrets.find(f"/550e8400-e29b-41d4-a716-446655440000/{token}") == [("entropy", 38, 63)]
+    long = "qL7+Zq8vT2mXw7Lr4Kd9Bn3Py6Hs1/aB3+x9Kd/Wm5TqR8+uV2yEoG6"
+    assert secrets.find(long) == [("entropy", 0, len(long))]
+
+
 def test_minimax_is_least():
     random.seed(4)
     for _ in range(200):
