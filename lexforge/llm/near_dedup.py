@@ -1,10 +1,12 @@
-"""Near-duplicates by an LSH forest over MinHash signatures, every link confirmed on full shingle sets.
-
-Texts of equal shingle sets form a class; one text stands for it. A signature is read in several
-orders; in each, representatives that share the first ``DEPTH`` values form a region. A region of more
-than ``REGION`` texts is sorted by the values that follow, deeper and deeper, and cut there into blocks,
-and every pair of blocks is compared, so that depth adapts without losing a pair. A block pair emits
-a spanning forest of its links only. Components follow from the links.
+"""Near-duplicates by banded MinHash signatures, every link confirmed on full shingle sets.
+
+Texts of equal shingle sets form a class; one text stands for it. A signature is cut into ``ORDERS``
+bands; in each, representatives that share all ``DEPTH`` values form a region. Banding of fixed depth
+stands where an LSH forest would sort each order and go deeper in crowded places: a deeper prefix drops
+pairs that share only ``DEPTH`` values, and here every such pair is compared. The price is that a region
+has no bound. One of more than ``REGION`` texts is dealt by hash into blocks, and every pair of blocks is
+compared, in the square of its size. A block pair emits a spanning forest of its links only. Components
+follow from the links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lexforge.session import cut, importable
 
 SHINGLE = 5
-#: Orders, and the values a region shares: a pair at similarity 0.75 is missed by all orders with
+#: Bands, and the values a region shares: a pair at similarity 0.75 is missed by all bands with
 #: probability (1 - 0.75 ** 3) ** 20 = 2e-5.
 ORDERS, DEPTH = 20, 3
 #: Texts a block.
@@ -90,7 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _orders(reps: DataFrame) -> DataFrame:
-    """rep, order, region, deeper: for each order its region key and the values that follow."""
+    """rep, order, region, deeper: for each band (order) its region key and the first value of the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +112,17 @@ def _orders(reps: DataFrame) -> DataFrame:
 def _candidates(reps: DataFrame) -> DataFrame:
     """rep and its places: (region, block) with the number of blocks of each region it lies in.
 
-    Regions of one text, and regions of the same texts as another, are left out.
+    Regions of one text, and regions of the same texts as another, are left out. Their texts are told
+    apart by number, least rep, and the sums of both halves and the exclusive or of 64-bit hashes; the
+    halves have 32 bits, so that sums stay exact for two billion texts.
     """
     placed = cut(_orders(reps))
     member = F.xxhash64("rep")
-    regions = placed.groupBy("order", "region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(member, 8)).alias("s"), F.bit_xor(member).alias("x"), F.min("rep").alias("low"))
-    regions = regions.where("m > 1").groupBy("m", "s", "x", "low").agg(F.min(F.struct("order", "region")).alias("k")).select("k.order", "k.region", "m")
+    regions = placed.groupBy("order", "region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(member, 32)).alias("s"), F.sum(member.bitwiseAND(F.lit(2**32 - 1))).alias("t"), F.bit_xor(member).alias("x"), F.min("rep").alias("low"))
+    regions = regions.where("m > 1").groupBy("m", "s", "t", "x", "low").agg(F.min(F.struct("order", "region")).alias("k")).select("k.order", "k.region", "m")
     kept = placed.join(regions, ["order", "region"])
     blocks = F.ceil(F.col("m") / REGION).cast("int")
-    # Blocks of a large region are cut by the values that follow, hashed apart where those are alike.
+    # Blocks of a large region are dealt by hash.
     spread = F.pmod(F.xxhash64("deeper", F.pmod(F.xxhash64("rep"), blocks)), blocks).cast("int")
     return kept.select("rep", "region", "order", "m", blocks.alias("blocks"), F.when(blocks == 1, F.lit(0)).otherwise(spread).alias("block"))
 

@@ -357,6 +357,14 @@ def test_near_duplicates(spark, docs, empty):
     assert [(r.component_id, r.kept) for r in alone] == [(None, True)]
 
 
+def test_region_of_large_hashes(spark):
+    # Some thousand members of a region whose hashes are all large: sums of 55 bits and more leave a bigint.
+    reps = spark.range(4000).selectExpr("id rep", f"unhex(repeat('0a', {4 * near_dedup.ORDERS * near_dedup.DEPTH})) signature").where("xxhash64(rep) > 4611686018427387904")
+    n = reps.count()
+    placed = near_dedup._candidates(reps).collect()
+    assert n > 600 and len(placed) >= n and {r.m for r in placed} == {n}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
