@@ -16,13 +16,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_cla
     """text and y of at most ``per_class`` labelled rows a class, chosen by a hash of doc_id.
 
     Only the chosen ids are joined, at most ``2 * per_class`` of them, so they may be broadcast
-    and no text is shuffled. Null ids, texts and labels are left out.
+    and no other text is shuffled. Null ids, texts and labels are left out; a doc_id that repeats gives
+    one row, with its least text.
     """
     ids = labels.where(keep & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     ids = ids.where("y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     by_class = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = by_class[0].unionByName(by_class[1])
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, weight: np.ndarray | None = None) -> np.ndarray:
