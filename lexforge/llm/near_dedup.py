@@ -1,12 +1,18 @@
-"""Near-duplicates by banded MinHash signatures, every link confirmed on full shingle sets.
-
-Texts of equal shingle sets form a class; one text stands for it. A signature is cut into ``ORDERS``
-bands; in each, representatives that share all ``DEPTH`` values form a region. Banding of fixed depth
-stands where an LSH forest would sort each order and go deeper in crowded places: a deeper prefix drops
-pairs that share only ``DEPTH`` values, and here every such pair is compared. The price is that a region
-has no bound. One of more than ``REGION`` texts is dealt by hash into blocks, and every pair of blocks is
-compared, in the square of its size. A block pair emits a spanning forest of its links only. Components
-follow from the links.
+"""Near-duplicates by a MinHash LSH forest, every link confirmed on full shingle sets.
+
+Texts of equal shingle sets form a class. A signature gives ``ORDERS`` sorted orders (trees of the forest):
+each reads all values, beginning at its own place. Classes that share the first ``DEPTH`` values of an order
+are a region of it; such a pair is a candidate, and its longest common prefix says how near it may be.
+
+- First the nearest: in the first ``FIRST`` orders a region is cut by ever longer prefixes, until its parts
+  hold at most ``REGION`` classes, so crowded regions go deep and sparse ones stay at ``DEPTH``. The parts are
+  compared and the links make components.
+- Then the rest, exactly: in every order, regions whose classes are not of one component yet are compared
+  across components: the largest component in blocks against the others in blocks, never within itself.
+  A region of near copies is settled by the first step; one of unlike texts costs blocks in the product
+  of its two sides, the price of losing no link.
+
+A pair at similarity 0.75 shares no region with probability (1 - 0.75 ** 3) ** 20 = 2e-5.
 """
 
 from __future__ import annotations
@@ -18,17 +24,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.rows import fresh, keys, sieve, without
 from lexforge.session import cut, importable
 
 SHINGLE = 5
-#: Bands, and the values a region shares: a pair at similarity 0.75 is missed by all bands with
-#: probability (1 - 0.75 ** 3) ** 20 = 2e-5.
-ORDERS, DEPTH = 20, 3
-#: Texts a block.
-REGION = 512
+#: Orders, those of the first step, and the values a region shares.
+ORDERS, FIRST, DEPTH = 20, 4, 3
+#: Prefix lengths that crowded regions are cut by in turn; the last is the whole signature.
+DEEPER = (6, 12, 24, 60)
+#: Classes compared at once in one task, on each side.
+REGION = 256
 #: Link when 100 * intersection >= SHARE * union.
 SHARE = 75
 CACHE_LIMIT = 400_000
@@ -74,9 +82,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_hash(s: np.ndarray) -> bytes | None:
+    """Name of a shingle set, 16 bytes; None for the empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null: no words), signature (binary, 4 bytes a value)."""
+    """doc_id, k1, k2 (see rows.keys), n_shingles, set_hash (null: no words), signature (array<int>)."""
     importable(docs.sparkSession)
+    k1, k2 = keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,70 +98,108 @@ def sketches(docs: DataFrame) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 s = shingles(t)
                 n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_hash", "signature"])
+                key.append(set_hash(s))
+                sig.append(signature(s).view(np.int32) if len(s) else None)
+            kept = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash string, signature binary")
+    names = ["doc_id", "k1", "k2", "n_shingles", "set_hash", "signature"]
+    return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, set_hash binary, signature array<int>")
 
 
-def _orders(reps: DataFrame) -> DataFrame:
-    """rep, order, region, deeper: for each band (order) its region key and the first value of the next."""
+def classes_of(rows: DataFrame) -> DataFrame:
+    """set_hash, signature, and the first row of each class: doc_id (nulls last), n (rows of it alike), k1."""
+    alike = rows.where("set_hash is not null").groupBy("set_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"), F.first("signature").alias("signature"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "k1")).alias("r")
+    return alike.groupBy("set_hash").agg(first, F.first("signature").alias("signature")).select("set_hash", "signature", "r.doc_id", "r.n", "r.k1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join(batch.column("signature").to_pylist())
-            sig = np.frombuffer(raw, np.uint32).astype(np.uint64).reshape(-1, ORDERS, DEPTH)
-            n = len(sig)
-            region = _mix(sig[:, :, 0] + np.arange(ORDERS, dtype=np.uint64)[None, :])
-            for j in range(1, DEPTH):
-                region = _mix(region ^ sig[:, :, j])
-            deeper = np.roll(sig[:, :, 0], -1, axis=1)  # the next order's first value follows
-            rep = np.repeat(batch.column("rep").to_numpy(), ORDERS)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), pa.array(region.ravel().view(np.int64)), pa.array(deeper.ravel().view(np.int64))], ["rep", "order", "region", "deeper"])
 
-    return reps.select("rep", "signature").mapInArrow(run, "rep bigint, order int, region bigint, deeper bigint")
+def prefix(order: Column, depth: int) -> Column:
+    """Hash of the first ``depth`` values of an order; the order reads the signature from its own place on, round."""
+    sig = F.col("signature")
+    if depth <= DEPTH:
+        return F.xxhash64(order, F.slice(sig, order * DEPTH + 1, depth))
+    return F.xxhash64(order, F.slice(F.concat(sig, sig), order * DEPTH + 1, depth))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """rep and its places: (region, block) with the number of blocks of each region it lies in.
+def _regions(classes: DataFrame) -> DataFrame:
+    """set_hash, ord, region, m (size), twin of every place of a class in a region of two or more.
 
-    Regions of one text, and regions of the same texts as another, are left out. Their texts are told
-    apart by number, least rep, and the sums of both halves and the exclusive or of 64-bit hashes; the
-    halves have 32 bits, so that sums stay exact for two billion texts.
+    Regions of the same classes, told by number, least class, and sums and exclusive or of 64-bit hashes (in
+    halves, so that sums stay exact for two billion), are one; the others are twins, kept only to be cut deeper.
     """
-    placed = cut(_orders(reps))
-    member = F.xxhash64("rep")
-    regions = placed.groupBy("order", "region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(member, 32)).alias("s"), F.sum(member.bitwiseAND(F.lit(2**32 - 1))).alias("t"), F.bit_xor(member).alias("x"), F.min("rep").alias("low"))
-    regions = regions.where("m > 1").groupBy("m", "s", "t", "x", "low").agg(F.min(F.struct("order", "region")).alias("k")).select("k.order", "k.region", "m")
-    kept = placed.join(regions, ["order", "region"])
-    blocks = F.ceil(F.col("m") / REGION).cast("int")
-    # Blocks of a large region are dealt by hash.
-    spread = F.pmod(F.xxhash64("deeper", F.pmod(F.xxhash64("rep"), blocks)), blocks).cast("int")
-    return kept.select("rep", "region", "order", "m", blocks.alias("blocks"), F.when(blocks == 1, F.lit(0)).otherwise(spread).alias("block"))
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each place of each wanted text with the text's full shingle set."""
-    places = wanted.groupBy("rep").agg(F.collect_list(F.struct("order", "region", "blocks", "block")).alias("places"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(places, "rep")
+    orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda o: F.struct(o.alias("ord"), prefix(o, DEPTH).alias("region"))))
+    placed = cut(classes.select("set_hash", orders.alias("o")).select("set_hash", "o.ord", "o.region"))
+    member = F.xxhash64("set_hash")
+    sizes = placed.groupBy("region").agg(
+        F.min("ord").alias("ord"),
+        F.count(F.lit(1)).alias("m"),
+        F.sum(F.shiftright(member, 32)).alias("s"),
+        F.sum(member.bitwiseAND(F.lit(2**32 - 1))).alias("t"),
+        F.bit_xor(member).alias("x"),
+        F.min(member).alias("low"),
+    )
+    sizes = cut(sizes.where("m > 1").groupBy("m", "s", "t", "x", "low").agg(F.sort_array(F.collect_list(F.struct("ord", "region"))).alias("same")))
+    each = sizes.select("m", F.posexplode("same").alias("i", "r")).select("r.region", "m", (F.col("i") > 0).alias("twin"), F.col("r.ord").alias("ord"))
+    each = each.where(f"not twin or (m > {REGION} and ord < {FIRST})").drop("ord")
+    near = sieve(placed, "region", cut(each), "shared").where("shared").drop("shared")
+    return cut(near.join(each, "region").select("set_hash", "ord", "region", "m", "twin"))
+
+
+def _leaves(classes: DataFrame, places: DataFrame) -> DataFrame:
+    """set_hash, part, side: regions of the first orders, the crowded ones cut at the depth they need."""
+    mine = places.where(F.col("ord") < FIRST)
+    done = mine.where(F.col("m") <= REGION).select("set_hash", F.col("region").alias("part"))
+    crowded = mine.where(F.col("m") > REGION).select("set_hash", "ord")
+    for depth in DEEPER if not crowded.isEmpty() else ():
+        keyed = cut(crowded.join(classes.select("set_hash", "signature"), "set_hash").select("set_hash", "ord", prefix(F.col("ord"), depth).alias("part")))
+        sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        sized = keyed.join(sizes, "part")
+        done = done.unionByName(sized.where(F.col("m") <= REGION).select("set_hash", "part"))
+        crowded = sized.where(F.col("m") > REGION).select("set_hash", "ord")
+        if depth == DEEPER[-1]:
+            # Whole signatures alike: neighbours in the order of their names.
+            rest = sized.where(F.col("m") > REGION)
+            spread = F.pmod(F.xxhash64("set_hash"), F.ceil(F.col("m") / (REGION / 2)).cast("int"))
+            done = done.unionByName(rest.select("set_hash", F.xxhash64("part", spread).alias("part")))
+    return done.withColumn("side", F.lit(0))
+
+
+def _rest(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """set_hash, part, side: pairs of blocks of the regions that hold more than one component."""
+    once = places.where("not twin").join(labels.withColumnRenamed("node", "set_hash"), "set_hash", "left")
+    once = cut(once.select("set_hash", "region", "m", F.coalesce("component", "set_hash").alias("component")))
+    counts = once.groupBy("region", "m", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = counts.groupBy("region", "m").agg(F.max(F.struct("n", "component")).alias("top")).where("top.n < m")
+    open_ = open_.select("region", F.col("top.component").alias("large"), F.col("top.n").alias("n"))
+    member = once.join(open_, "region")
+    inside = F.col("component") == F.col("large")
+    blocks = lambda n: F.ceil(n / F.lit(REGION // 2)).cast("int")
+    n_in, n_out = blocks(F.col("n")), blocks(F.col("m") - F.col("n"))
+    block = lambda n: F.pmod(F.xxhash64("set_hash", F.lit(7)), n).cast("int")
+    pair = lambda kind, i, j, side: F.struct(F.xxhash64("region", F.lit(kind), i, j).alias("part"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    others = lambda b: F.transform(F.sequence(zero, n_out - 1), lambda j: pair("o", F.least(b, j), F.greatest(b, j), (j < b)))
+    across_out = lambda b: F.transform(F.sequence(zero, n_in - 1), lambda j: pair("x", b, j, zero))
+    across_in = lambda b: F.transform(F.sequence(zero, n_out - 1), lambda j: pair("x", j, b, one))
+    whole = F.array(pair("w", zero, zero, zero))
+    pairs = F.when(F.col("m") <= REGION, whole).when(inside, across_in(block(n_in))).otherwise(F.concat(others(block(n_out)), across_out(block(n_out))))
+    return member.select("set_hash", F.explode(pairs).alias("p")).select("set_hash", "p.part", "p.side")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set_hash and its whole set (binary, sorted 64-bit hashes), from the first row of each wanted class."""
+    source = cut(classes.join(wanted.select("set_hash").distinct(), "set_hash", "left_semi").select("k1"))
+    rows = sieve(docs.select("text", keys()[0].alias("k1")), "k1", source, "wanted").where("wanted").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = shingles(r["text"]).tobytes()
-                rows = []
-                for p in r["places"]:
-                    # A block meets each block of its region once, itself included.
-                    for other in range(p["blocks"]):
-                        a, b = min(p["block"], other), max(p["block"], other)
-                        rows.append((r["rep"], p["order"], p["region"], a, b, p["block"], raw))
-                for at in range(0, len(rows), 200):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 200]), types)], names)
-
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["rep", "order", "region", "a", "b", "block", "shingles"]
-    return texts.select("rep", "text", "places").mapInArrow(run, "rep bigint, order int, region bigint, a int, b int, block int, shingles binary")
+            for t in batch.column("text").to_pylist():
+                s = shingles(t)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([set_hash(s)], pa.binary()), pa.array([s.tobytes()], pa.large_binary()).cast(pa.binary())], ["set_hash", "shingles"])
+
+    return rows.mapInArrow(run, "set_hash binary, shingles binary").groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,26 +249,29 @@ def forest(pairs: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(find(i), i) for i in range(n) if find(i) != i]
 
 
-def _links(placed: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the links found in each part; where a part has two sides, of those across."""
+    parts = cut(parts)
+    placed = parts.join(_sets(docs, classes, parts), "set_hash").select("set_hash", "part", "side", "shingles")
+
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("rep").sort_values("rep")
+        group = group.drop_duplicates("set_hash").sort_values("set_hash")
         if len(group) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
         sets = [np.frombuffer(s, np.uint64) for s in group.shingles]
-        ids, block = group.rep.to_numpy(), group.block.to_numpy()
-        same = group.a.iloc[0] == group.b.iloc[0]
-        side = np.arange(len(ids)) if same else np.flatnonzero(block == group.a.iloc[0])
-        other = side if same else np.flatnonzero(block == group.b.iloc[0])
-        i, j = linked(sets, side, other)
+        ids, side = group.set_hash.to_numpy(), group.side.to_numpy()
+        left = np.flatnonzero(side == 0)
+        right = left if (side == 0).all() else np.flatnonzero(side == 1)
+        i, j = linked(sets, left, right)
         keep = i != j
         found = forest(zip(i[keep].tolist(), j[keep].tolist()), len(ids))
-        return pd.DataFrame({"a": ids[[r for r, _ in found]], "b": ids[[m for _, m in found]]}, dtype="int64")
+        return pd.DataFrame({"a": ids[[r for r, _ in found]], "b": ids[[m for _, m in found]]}, dtype=object)
 
-    return placed.groupBy("order", "region", "a", "b").applyInPandas(compare, "a bigint, b bigint")
+    return cut(placed.groupBy("part").applyInPandas(compare, "a binary, b binary"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for all nodes of ``links(a, b)``.
+    """node, component (smallest node reachable) for all nodes of ``links(a, b)``, of any type that sorts.
 
     Each round takes the least component among neighbours, then jumps to that component's own; both
     joins split skewed keys. It ends when nothing changes.
@@ -236,23 +291,62 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """set_hash, component_id (least doc_id reachable, null without any), keeper (set_hash of the class that holds
+    its first row) and n (rows alike with that first row) for every class of ``rows``, the sketches of ``docs``."""
+    classes = cut(classes_of(rows))
+    places = _regions(classes)
+    labels = cut(components(_links(docs, classes, _leaves(classes, places))))
+    more = _links(docs, classes, _rest(places, labels))
+    named = classes.select("set_hash", "doc_id", "n").join(labels.withColumnRenamed("node", "set_hash"), "set_hash", "left")
+    named = named.select("set_hash", "doc_id", "n", F.coalesce("component", "set_hash").alias("component"))
+    if not more.isEmpty():
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        again = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        named = named.join(again.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+        named = named.select("set_hash", "doc_id", "n", F.coalesce("further", "component").alias("component"))
+    named = cut(named)
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_hash", "n")).alias("r"))
+    least = least.select("component", F.col("r.doc_id").alias("component_id"), F.col("r.set_hash").alias("keeper"), F.col("r.n").alias("n"))
+    return named.select("set_hash", "component").join(least, "component").select("set_hash", "component_id", "keeper", "n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs(doc_id, text)``.
 
-    Texts without words or null are empty and linked with nothing, not even each other. A row without
-    doc_id stands alone with a null component and is kept. Repeated rows of one doc_id and text each
-    give a row; ties have no effect, since sets do; other columns are ignored.
+    Texts without words or null are empty and linked with nothing, not even each other. Rows are linked by
+    their texts alone: a row without doc_id takes part, and one doc_id with two texts may lie in two components.
+    component_id is the least doc_id of a component, null where no row of it has one; such rows are all kept.
+    Repeated rows each give a row; ties have no effect; a long text is one set; an empty table gives no rows;
+    other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     rows = cut(sketches(docs))
-    known = rows.where("set_hash is not null and doc_id is not null")
-    classes = cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature")))
-    # A doc_id that repeats with another text may stand for several classes; those are linked by it anyway.
-    reps = classes.groupBy("rep", "signature").agg(F.count(F.lit(1)).alias("n"))
-    placed = _candidates(reps.select("rep", "signature"))
-    links = _links(_sets(docs, placed))
-    found = components(cut(links))
-    of_class = classes.select("set_hash", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    joined = rows.drop("signature").join(cut(of_class), "set_hash", "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = groups(docs, rows)
+    joined = rows.select("doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")
+    component = F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that of least doc_id (nulls last), whatever other columns there are.
+
+    Rows of empty or null text are in no group and stay. Of rows that repeat both doc_id and shingles one stays;
+    a doc_id that repeats with another text loses only the row that is a copy.
+    """
+    rows = cut(sketches(docs))
+    found = cut(groups(docs, rows))
+    joined = rows.select("doc_id", "k1", "k2", "set_hash").join(found, "set_hash")
+    stays = (F.col("set_hash") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = without(docs, cut(joined.where(~stays).select("k1", "k2")))
+    again = cut(joined.where(stays & (F.col("n") > 1)).select("k1", "k2", "set_hash").distinct())
+    if again.isEmpty():
+        return kept
+    # Rows alike, some with other white space or other columns: the first of each set stays.
+    k1, k2, name = fresh(docs, "_k1", "_k2", "_set")
+    a, b = keys()
+    keyed = kept.withColumn(k1, a).withColumn(k2, b)
+    known = again.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("set_hash").alias(name))
+    one = keyed.join(known, [k1, k2]).groupBy(name).agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return keyed.join(known, [k1, k2], "left_anti").select(*docs.columns).unionByName(one)
