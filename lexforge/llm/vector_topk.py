@@ -1,58 +1,89 @@
-"""Exact top-k by inner product with no-random-access aggregation over blocks.
+"""Exact top-k by inner product with no-random-access aggregation.
 
-Queries and candidates are dealt into blocks; every (query block, candidate block) pair is one group.
-Inside a group each component is a list sorted by value, read downwards for positive query components
-and upwards for negative ones. After each depth the read part gives every candidate a lower and an
-upper bound; a candidate whose upper bound is under the k-th lower bound is out. Reading stops when
-few enough are left, and their scores are then resolved exactly in integers.
+Candidates lie in blocks of near vectors: a bounded sample gives pivots, each row goes to its nearest one, and
+crowded cells are split by hash. Every component of a block is a list sorted by value, read from the top for
+positive query components and from the bottom for negative ones, a stretch at a time.
+
+- A query first reads its own block; its k-th score there is the bar for all other blocks.
+- In each block the read parts give every candidate a lower and an upper score bound. The bar rises with the k-th
+  lower bound; candidates under it are out and are read no more. A query whose bound for everything unread is
+  under its bar stops there, most of them before they read anything.
+- Few are left when a query stops; their scores are then resolved exactly in integers.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.session import importable
+from lexforge.session import cut, importable
 
-CANDIDATES_PER_BLOCK = 1024
-QUERIES_PER_BLOCK = 2048
+CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 2048
+#: Queries read together, which bounds memory.
+TOGETHER = 256
+#: Pivots at most; each is a row of the sample sent to the driver.
+PIVOTS = 256
+FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query index, row index) that contain every top-k row of each query.
+def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query index, row index) that hold every top-k row of a query that can pass its ``bar``, and the
+    number of list entries read for them.
 
     ``own`` marks pairs that take no part. Bounds are doubles with slack; they only exclude.
     """
-    q, x = queries.astype(float), rows.astype(float)
+    q, x, bar = queries.astype(float), rows.astype(float), bar.astype(float)
     b = len(x)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     lists = np.sort(x, axis=0)
-    alive = ~own
-    if b <= k:
-        return np.nonzero(alive)
-    slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0))[:, None]
-    for depth in sorted({max(1, b // 8), max(1, b // 4), max(1, b // 2), max(1, 3 * b // 4)}):
+    slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0))
+    alive, read, depth = ~own, 0, 0
+    used = np.count_nonzero(q, axis=1)
+    # Nothing read yet: the best that any row could score.
+    open_ = up @ lists[-1] + down @ lists[0] >= bar - slack
+    alive[~open_] = False
+    todo = np.flatnonzero(open_)
+    while len(todo):
+        step = min(b, max(2 * depth, b // 16, 1)) - depth
+        depth += step
+        read += step * int(used[todo].sum())
         high, low = lists[b - depth], lists[depth - 1]
-        upper = up @ np.maximum(x, high).T + down @ np.minimum(x, low).T
-        lower = up @ np.where(x >= high, x, lists[0]).T + down @ np.where(x <= low, x, lists[-1]).T
-        lower[own] = -np.inf
-        bar = np.partition(lower, b - k, axis=1)[:, b - k, None]
-        alive &= upper >= bar - slack
-        if alive.sum() <= 4 * k * len(q):
-            break
-    return np.nonzero(alive)
+        left = np.flatnonzero(alive[todo].any(axis=0))
+        part = x[left]
+        top, bottom, u, d = part >= high, part <= low, up[todo], down[todo]
+        upper = u @ np.where(top, part, high).T + d @ np.where(bottom, part, low).T
+        lower = u @ np.where(top, part, lists[0]).T + d @ np.where(bottom, part, lists[-1]).T
+        live = alive[np.ix_(todo, left)]
+        lower[~live] = -np.inf
+        if len(left) >= k:
+            bar[todo] = np.maximum(bar[todo], np.partition(lower, len(left) - k, axis=1)[:, len(left) - k])
+        live &= upper >= (bar[todo] - slack[todo])[:, None]
+        alive[np.ix_(todo, left)] = live
+        todo = todo[(live.sum(axis=1) > 2 * k) & (depth < b)]
+    qi, xi = np.nonzero(alive)
+    return qi, xi, read
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, exact; beyond the ends of a bigint they stay at its ends."""
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
+    if most < 1 << 62:
+        return np.einsum("ij,ij->i", q, x)
+    whole = (q.astype(object) * x.astype(object)).sum(axis=1)
+    return np.array([max(-(2**63), min(2**63 - 1, v)) for v in whole], np.int64)
 
 
 def _best(queries: np.ndarray, rows: np.ndarray, qi: np.ndarray, xi: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     score = np.zeros(len(qi), np.int64)
-    for at in range(0, len(qi), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        score[s] = np.einsum("ij,ij->i", queries[qi[s]], rows[xi[s]])
-    order = np.lexsort((ids[xi], -score, qi))
+    for at in range(0, len(qi), 1 << 14):
+        s = slice(at, at + (1 << 14))
+        score[s] = _scores(queries[qi[s]], rows[xi[s]])
+    order = np.lexsort((ids[xi], ~score, qi))  # ~ turns the order round, without the overflow of a minus
     qi, xi, score = qi[order], xi[order], score[order]
     rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
     top = rank < k
@@ -66,41 +97,82 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of ``c(vec_id, vector)`` for each of ``q(vec_id, vector, bar)``, null bars for none."""
+    found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+    if len(q) and len(c):
+        width = max(*map(len, q.vector), *map(len, c.vector), 0)
+        rows, ids = _matrix(c.vector, width), c.vec_id.to_numpy()
+        for at in range(0, len(q), TOGETHER):
+            some = q.iloc[at : at + TOGETHER]
+            asked, names = _matrix(some.vector, width), some.vec_id.to_numpy()
+            bar = some.bar.to_numpy(dtype=float, na_value=-np.inf)
+            qi, xi, _ = nra(asked, rows, names[:, None] == ids[None, :], k, np.where(np.isnan(bar), -np.inf, bar))
+            qi, xi, score = _best(asked, rows, qi, xi, ids, k)
+            found.append(pd.DataFrame({"query_id": names[qi], "vec_id": ids[xi], "score": score}))
+    return pd.concat(found)
+
+
+def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds cell, the number of the nearest pivot."""
+    if len(pivots) < 2:
+        return df.withColumn("cell", F.lit(0))
+    half = (pivots.astype(float) ** 2).sum(axis=1) / 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            width = max(pivots.shape[1], *map(len, b.vector), 0)
+            x = _matrix(b.vector, width)[:, : pivots.shape[1]].astype(float)
+            yield b.assign(cell=np.argmax(x @ pivots.T.astype(float) - half, axis=1).astype(np.int32) if len(b) else np.zeros(0, np.int32))
+
+    return df.mapInPandas(run, "vec_id bigint, vector array<bigint>, cell int")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates by integer inner product.
 
-    Both inputs have vec_id and vector (array<bigint>); a row takes no part for its own vec_id. Null
-    vectors and null vec_ids are dropped; shorter vectors count as padded with zeros; ties go to the
-    smaller vec_id; fewer than k candidates give fewer rows; empty inputs give none.
+    Both inputs have vec_id and vector (array<bigint>); a row takes no part for its own vec_id. Null vectors and
+    null vec_ids are dropped; shorter vectors count as padded with zeros; ties go to the smaller vec_id; repeated
+    candidates stand for themselves each; scores beyond a bigint stay at its ends; fewer than k candidates give
+    fewer rows; empty inputs give none; other columns are ignored.
     """
     importable(candidates.sparkSession)
-    clean = lambda d: d.select("vec_id", "vector").where("vec_id is not null and vector is not null")
+    clean = lambda d: d.select("vec_id", "vector").where("vec_id is not null and vector is not null and forall(vector, x -> x is not null)")
     queries, candidates = clean(queries), clean(candidates)
-    nc = max(1, math.ceil(candidates.count() / CANDIDATES_PER_BLOCK))
-    nq = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.lit(True).alias("is_query"), "vec_id", "vector", block(nq).alias("qb"), every(nc).alias("cb"))
-    right = candidates.select(F.lit(False).alias("is_query"), "vec_id", "vector", every(nq).alias("qb"), block(nc).alias("cb"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        q, c = group[group.is_query], group[~group.is_query]
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        width = max(map(len, group.vector), default=0)
-        qm, cm = _matrix(q.vector, width), _matrix(c.vector, width)
-        qid, cid = q.vec_id.to_numpy(), c.vec_id.to_numpy()
-        qi, xi = nra(qm, cm, qid[:, None] == cid[None, :], k)
-        qi, xi, score = _best(qm, cm, qi, xi, cid, k)
-        return pd.DataFrame({"query_id": qid[qi], "vec_id": cid[xi], "score": score})
-
-    found = left.unionByName(right).groupBy("qb", "cb").applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    total = candidates.count()
+    wanted = min(PIVOTS, total // CANDIDATES_PER_BLOCK)
+    sample = [r["vector"] for r in candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()] if wanted > 1 else []
+    pivots = _matrix(pd.Series(sample, dtype=object), max(map(len, sample), default=0))
+    rows, asked = cut(_placed(candidates, pivots)), cut(_placed(queries, pivots))
+    # Blocks of each cell, at most PIVOTS numbers.
+    n = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
+    parts = [-(-n.get(c, 1) // CANDIDATES_PER_BLOCK) for c in range(max(1, len(pivots)))]
+    first, blocks = np.cumsum([0, *parts[:-1]]).tolist(), sum(parts)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    block = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
+    rows, asked = rows.withColumn("block", block).drop("cell"), asked.withColumn("home", block).drop("cell")
+
+    near = asked.select("vec_id", "vector", F.lit(None).cast("bigint").alias("bar"), F.col("home").alias("block"))
+    own = cut(near.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(lambda q, c: _search(q, c, k), FOUND))
+    found = own
+    if blocks > 1:
+        bars = own.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
+        held = asked.distinct().join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        groups = max(1, math.ceil(asked.count() / QUERIES_PER_BLOCK))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        far = held.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("qb"), every(blocks).alias("block")).where("block != home")
+        right = rows.select("vec_id", "vector", every(groups).alias("qb"), "block")
+        others = far.groupBy("qb", "block").cogroup(right.groupBy("qb", "block")).applyInPandas(lambda q, c: _search(q, c, k), FOUND)
+        found = own.unionByName(others)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(embeddings: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id and vector = floor(scale * x); vectors null or holding null or non-finite values are dropped."""
+    """vec_id and vector = floor(scale * x), at the ends of a bigint where it is beyond them.
+
+    Vectors null or holding null or non-finite values are dropped; an empty vector stays.
+    """
     x = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return embeddings.where(F.col("embedding").isNotNull() & finite).select("vec_id", F.transform(x, lambda v: F.floor(F.lit(scale) * v).cast("bigint")).alias("vector"))
