@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.labelled import apply_logistic, fold, logistic, sample
-from lexforge.session import importable
+from lexforge.session import cut, importable
 
 #: Bounds of the labelled sample: rows a class for the dictionaries, and rows a class for calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 4000
+#: Bytes of text a class that reach the driver for its dictionary.
+SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 
 
@@ -52,12 +54,27 @@ class Sizes:
         return [10 * diff, 100 * diff * abs(diff), ratio, ratio * ratio, 10 * diff * ratio, np.log1p(len(raw)) / 10]
 
 
+def _within_bytes(rows: DataFrame) -> list:
+    """Whole sampled texts, up to SAMPLE_BYTES a class, shorter ones first, so that the driver holds a bounded number."""
+    sizes = rows.select("doc_id", "y", F.octet_length("text").alias("n")).collect()
+    room, chosen = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for r in sorted(sizes, key=lambda r: (r["n"], r["doc_id"])):
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            chosen.append((r["doc_id"],))
+    if not chosen:
+        return []
+    ids = rows.sparkSession.createDataFrame(chosen, "doc_id bigint")
+    return sorted(rows.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: r["doc_id"])
+
+
 def train(docs: DataFrame, labels: DataFrame, keep) -> dict:
     """Dictionaries and calibration from labelled rows where ``keep`` holds. Without both classes
     the model knows only the rate of good rows."""
     importable(docs.sparkSession)
-    rows = sample(docs, labels, "quality", keep, DICTIONARY_ROWS).collect()
-    texts = {y: [r["text"] for r in rows if r["y"] == y] for y in (0, 1)}
+    rows = cut(sample(docs, labels, "quality", keep, DICTIONARY_ROWS))
+    taken = _within_bytes(rows)
+    texts = {y: [r["text"] for r in taken if r["y"] == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return {"rate": 1.0 if texts[1] else 0.5 if not texts[0] else 0.0}
     model = {"good": _dictionary(texts[1]), "bad": _dictionary(texts[0])}
@@ -69,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> dict:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     fresh = sample(docs, labels, "quality", keep, DICTIONARY_ROWS + CALIBRATION_ROWS)
-    used = {r["doc_id"] for r in rows}
+    used = {r["doc_id"] for r in taken}
     got = [r for r in fresh.select("doc_id", "text", "y").mapInArrow(_with_id(measure), "doc_id bigint, y int, x array<double>").collect()]
     # Rows that made the dictionaries compress too well; they calibrate only where nothing else is there.
     new = [r for r in got if r["doc_id"] not in used]
@@ -107,7 +124,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; rows whose fold of 3 is 1 teach nothing."""
+    """doc_id, held_out, score, predicted per row; rows whose fold of 3 is 1 teach nothing.
+
+    A null or empty text is compressed as an empty one; a long text whole; repeated rows each give a row, of equal
+    scores; a null doc_id is never held out; empty tables give no rows, empty labels the score 0.5. Other
+    columns of either table are ignored.
+    """
     model = train(docs, labels, fold(F.col("doc_id"), 3) != 1)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
