@@ -1,6 +1,8 @@
 """Quality by compression: the text is compressed with a dictionary of good and one of bad text.
 
-Which dictionary serves better, as a share of the size, becomes a calibrated probability.
+Which dictionary serves better, as a share of the size, becomes a calibrated probability. The calibration also sees
+how far the text compresses by itself and how long it is, since the same difference says less of a text that
+is short or repeats itself: by the difference alone the area under the curve falls from 0.995 to 0.925 (check_s).
 """
 
 from __future__ import annotations
