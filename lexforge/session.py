@@ -7,6 +7,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings of Arrow batches: name, Spark's default, and the bound set in its place.
+BATCHES = [
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "0", str(64 << 20)),
+]
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -17,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Where that is unset, a temporary folder serves a session on one machine, as in tests; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -26,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lexforge-"))
     return sc.getCheckpointDir()
 
@@ -37,10 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, and hand them batches of bounded size."""
+    """Let Python workers import this package, and bound the batches they get in rows and in bytes.
+
+    The two settings of batches are changed only where the session has Spark's defaults.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, default, bound in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, bound)
