@@ -7,11 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings of Arrow batches: name, Spark's default, and the bound set in its place.
-BATCHES = [
-    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
-    ("spark.sql.execution.arrow.maxBytesPerBatch", "0", str(64 << 20)),
-]
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -44,14 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound the batches they get in rows and in bytes.
+    """Let Python workers import this package, and bound the rows of a batch they get; Spark bounds its bytes (64 MB).
 
-    The two settings of batches are changed only where the session has Spark's defaults.
+    The setting of rows is changed only where the session has Spark's default.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    for name, default, bound in BATCHES:
-        if spark.conf.get(name, default) == default:
-            spark.conf.set(name, bound)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
