@@ -1,3 +1,39 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+TOP_K = """
+with v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and embedding is not null),
+r as (select vec_id, list_transform(e, lambda x: floor(256 * x)) x from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::bigint score from r q join r c on q.vec_id != c.vec_id where q.vec_id % 50 = 0),
+k as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, rank::int as rank, vec_id, score from k where rank <= 5"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION = rf"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
+j as (select item_id, w, least(len(w), 10) n from i where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[s + 1:s + n], ' ') t from (select *, unnest(generate_series(0, len(w) - n)) s from j)),
+tries as (select r, n, s, array_to_string(w[s + 1:s + n], ' ') t from (select r, w, n, unnest(generate_series(0, len(w) - n)) s from d, (select distinct n from win) where len(w) >= n)),
+hit as (select r, n, s, item_id from tries join win using (n, t)),
+words as (select r, count(distinct s + o) n_hit from (select distinct r, n, s from hit) h, lateral (select unnest(generate_series(0, h.n - 1)) o) group by 1),
+items as (select r, count(*) n_items, string_agg(x, ',' order by x) ids from (select distinct r, item_id::varchar x from hit) group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256,
+coalesce(n_hit, 0) > 0 as contaminated from d left join words using (r) left join items using (r)"""
+
+NEAR_DUPLICATES = rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x != '') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) end s from w),
+c as (select s, min(doc_id) rep, row_number() over (order by min(doc_id)) k from s where len(s) > 0 group by s),
+e as (select k, len(s) n, unnest(s) x from c),
+l as (select a.k ka, b.k kb from e a join e b on a.x = b.x and a.k < b.k group by a.k, b.k, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+g as (select ka a, kb b from l union select kb, ka from l),
+reach(k, to_) as (select k, k from c union select reach.k, g.b from reach join g on g.a = reach.to_),
+m as (select reach.k, min(rep) component from reach join c on c.k = reach.to_ group by 1)
+select s.doc_id, len(s.s)::bigint n_shingles, coalesce(m.component, s.doc_id) component_id, s.doc_id = coalesce(m.component, s.doc_id) as kept
+from s left join c on c.s = s.s left join m using (k)"""
+
+ORACLES: dict[str, str] = {"op3_topk": TOP_K, "op4_decontamination": CONTAMINATION, "op10_near_dedup": NEAR_DUPLICATES}

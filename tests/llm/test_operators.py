@@ -42,7 +42,6 @@ def ids_of(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -54,6 +53,7 @@ def crc(ids):
 def test_encoder_is_exact(name, docs):
     path = public_tokenizers.path(name)
     texts = [r.text for r in docs.collect()]
+    texts += ["x <|endoftext|> y", "a  <|endoftext|>  b,<|endoftext|>. c<|startoftext|>\n\n d", "<|endoftext|><|endoftext|>", "x <|EndOfText|> <|endoftext |> <|endof", "it's.<|endoftext|>'s, don't"]
     got = tokens.Encoder(path).encode(texts)
     assert [array.array("I", i).tobytes() for i in ids_of(path, texts)] == got
 
@@ -126,16 +126,44 @@ def test_top_k(spark):
     assert vector_topk.top_k(q.limit(0), q.limit(0), 5).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    for name, n in (("CANDIDATES_PER_BLOCK", 64), ("QUERIES_PER_BLOCK", 3), ("TOGETHER", 2)):
+        monkeypatch.setattr(vector_topk, name, n)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8)) * 3
+    rows = [(i, [float(v) for v in centres[i % 6] + rng.normal(size=8) / 3]) for i in range(700)] + [(700 + i, [2.0] * 8) for i in range(200)] + [(900, []), (901, [1e300] * 8), (902, [1.0])]
+    q = vector_topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).cache()
+    v = {r.vec_id: np.array([*r.vector, *[0] * (8 - len(r.vector))], object) for r in q.collect()}
+    got = {}
+    for r in vector_topk.top_k(q.where("vec_id % 50 = 0"), q, 5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for i in (i for i in v if i % 50 == 0):
+        assert got[i] == [(j, -s) for s, j in sorted((-clip(int(v[i] @ x)), j) for j, x in v.items() if j != i)[:5]], i
+
+
+def test_lists_are_read_until_outsiders_cannot_qualify():
+    rng = np.random.default_rng(9)
+    rows = rng.integers(-9, 9, (512, 6))
+    rows[7] = 500
+    asked = np.array([[1, 2, 1, 1, 3, 1], [0, 0, 0, 0, 0, 5]])
+    own = np.zeros((2, 512), bool)
+    qi, xi, read = vector_topk.nra(asked, rows, own, 1, np.full(2, -np.inf))
+    assert (0, 7) in set(zip(qi, xi)) and (1, 7) in set(zip(qi, xi)) and len(qi) <= 4
+    assert read == 32 * 6 + 32 * 1  # the first stretch of each list with a part in the score
+    assert vector_topk.nra(asked, rows, own, 1, np.full(2, 1e9))[2] == 0  # nothing can pass the bar
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
 def test_decontamination(spark, docs, empty):
     real = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
-    odd = spark.createDataFrame([(9001, "One, TWO"), (9002, None), (9003, "..."), (9004, "word " * 12), (9005, "one two")], "item_id bigint, text string")
+    odd = spark.createDataFrame([(None, "word " * 3), (9001, "One, TWO"), (9002, None), (9003, "..."), (9004, "word " * 12), (9005, "one two")], "item_id bigint, text string")
     items = real.unionByName(odd)
     window = {}
-    for r in items.collect():
+    for r in items.where("item_id is not null").collect():
         w = words(r.text)
         n = min(10, len(w))
         for s in range(len(w) - n + 1 if n else 0):
@@ -156,6 +184,16 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    text = " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(1, "a b c " + text + " d"), (None, text), (1, "other"), (2, None), (1, "other")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(7, text)], "item_id bigint, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in decontamination.contamination(d, b).collect())
+    assert got == [("1", 1, 0), ("1", 1, 0), ("1", 44, 40), ("2", 0, 0), ("None", 40, 40)]
+    assert sorted(str(r.doc_id) for r in decontamination.clean(d, b).collect()) == ["1", "1", "2"]
+
+
 def auc(score, y):
     rank = np.argsort(np.argsort(score)) + 1
     return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
@@ -177,16 +215,75 @@ def test_classifiers_on_odd_rows(spark, docs, empty, module):
     assert module.classify(empty, labels).count() == 0
 
 
+def all_maximal(s, a, b):
+    """Maximal scoring segments by their definition: the best (shortest, first) one, then those of what is left beside it."""
+    best = max(((sum(s[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+    if best[0] <= 1e-12:
+        return []
+    return [*all_maximal(s, a, best[3]), (best[3], best[4], best[0]), *all_maximal(s, best[4], b)]
+
+
 def test_segments_against_brute_force():
     random.seed(2)
     for _ in range(200):
         n = random.randint(1, 30)
-        s = [random.choice([-0.5, -0.5, -0.5, 2.0, -1.0, 1.0]) for _ in range(n)]
+        s = [random.choice([-0.5, -0.5, -0.5, random.uniform(0, 3), random.uniform(-2, 0)]) for _ in range(n)]
         at = [i for i, v in enumerate(s) if v != -0.5]
         found = toxicity.segments(at, [s[i] for i in at])
-        best = max((sum(s[a:b]) for a in range(n) for b in range(a + 1, n + 1)))
-        assert max((x for _, _, x in found), default=0) == pytest.approx(max(best, 0))
-        assert all(sum(s[a:b]) == pytest.approx(x) for a, b, x in found)
+        want = all_maximal(s, 0, n)
+        assert [(i, j) for i, j, _ in found] == [(i, j) for i, j, _ in want]
+        assert [x for _, _, x in found] == pytest.approx([x for _, _, x in want])
+
+
+def test_toxic_scores_and_passages_against_plain_ones(spark):
+    random.seed(11)
+    word = lambda: random.choice("lorem ipsum dolor amet tempor magna aliqua veniam nostrud quis".split())
+    rows = [(i, " ".join(random.choice(["scum", "vermin", "idiots"]) if i % 5 == 0 and 10 < k < 16 else word() + str(random.randrange(9)) for k in range(40)), i % 5 == 0) for i in range(400)]
+    d = spark.createDataFrame([r[:2] for r in rows] + [(1000, None), (None, "scum vermin " * 9)], "doc_id bigint, text string").withColumn("score", labelled.F.lit("mine"))
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(d, labels, labelled.fold(labelled.F.col("doc_id"), 4) != 2)
+
+    def plain(text):
+        tokens_, scores = re.findall(r"[a-z]+", (text or "").lower()), []
+        for w in tokens_:
+            units = [u for u in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)] if u in model["lexicon"]]
+            scores.append(max((model["lexicon"][u] for u in units), key=lambda x: abs(x[1]))[0] if units else -0.5)
+        found = all_maximal(scores, 0, len(scores))
+        best = sorted((x for _, _, x in found), reverse=True) + [0.0] * 3
+        n = max(len(tokens_), 1)
+        p = 1 - np.exp(-min(model["k"] * n * np.exp(-model["decay"] * best[0]), np.exp(50)))
+        good = [f for f in found if model["decay"] * f[2] > np.log(model["k"] * n)]
+        x = np.array([-np.log(max(p, 1e-30)) / 10, min(sum(f[2] for f in good), 100) / 10, best[0] / 10, best[1] / 10, best[2] / 10, 1.0])
+        return 1 / (1 + np.exp(-x @ model["w"])), [(a, b) for a, b, _ in good]
+
+    want = {r.doc_id: plain(r.text) for r in d.where("doc_id is null or doc_id % 20 < 3").collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    assert all(got[i] == pytest.approx(p, abs=1e-6) for i, (p, _) in want.items())
+    found = {}
+    for r in toxicity.passages(d, model).orderBy("first").collect():
+        found.setdefault(r.doc_id, []).append((r.first, r.last))
+    assert all(found.get(i, []) == spans for i, (_, spans) in want.items())
+    kept = toxicity.keep_clean(d, model)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, p in got.items() if p < 0.3} and got[None] > 0.3 > got[1000]
+
+
+def test_quality_scores_against_plain_sizes(spark):
+    import zstandard
+
+    random.seed(12)
+    rows = [(i, " ".join(random.choice(["the", "quick", "brown", "fox", "jumps"]) if i % 2 else random.choice("qxzjv") * random.randint(1, 9) for _ in range(60)), i % 2) for i in range(300)]
+    d = spark.createDataFrame([r[:2] for r in rows] + [(900, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    model = quality.train(d, labels, labelled.F.lit(True))
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_dict_id=False) for k in ("good", "bad")]
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    for i, text in [*[(r[0], r[1]) for r in rows[:40]], (900, "")]:
+        raw = text.encode()
+        good, bad = (len(c.compress(raw)) for c in coders)
+        diff, ratio = (bad - good) / (good + bad), len(plain.compress(raw)) / (len(raw) + 20)
+        x = np.array([10 * diff, 100 * diff * abs(diff), ratio, ratio**2, 10 * diff * ratio, np.log1p(len(raw)) / 10, 1.0])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-x @ model["w"])), abs=1e-6)
 
 
 def test_segments_take_linear_time():
@@ -230,6 +327,32 @@ def test_secrets_beside_others():
     assert secrets.find(f"/550e8400-e29b-41d4-a716-446655440000/{token}") == [("entropy", 38, 63)]
     long = "qL7+Zq8vT2mXw7Lr4Kd9Bn3Py6Hs1/aB3+x9Kd/Wm5TqR8+uV2yEoG6"
     assert secrets.find(long) == [("entropy", 0, len(long))]
+    both = secrets.find("0123456789ABCDEF98765432/Zq8vT2mXw7Lr4Kd9Bn3Py6Hs1Qa")
+    assert any(k == "entropy" and a <= 25 and b >= 52 for k, a, b in both)
+
+
+def test_entropy_runs_against_plain_windows():
+    random.seed(13)
+    signs = "0123456789abcdefABCDEFghXYZ+/=_-."
+    for _ in range(300):
+        s = "".join(random.choice(signs[: random.choice([3, 12, 33])]) for _ in range(random.randint(1, 70)))
+        covered = set()
+        for _, chars, least in secrets.CLASSES:
+            for i in range(len(s) - 19):
+                w = s[i : i + 20]
+                bits = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+                if set(w) <= chars and bits >= least - 1e-12:
+                    covered |= set(range(i, i + 20))
+        got = {i for a, b in secrets.entropy_runs(s) for i in range(a, b)}
+        assert got == covered
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    began = time.time()
+    found = secrets.find(" ".join(f"token={i:08d}x /Zq8vT2mXw7Lr4Kd9Bn3Py6Hs{i % 10}" for i in range(40_000)))
+    assert len(found) >= 80_000 and time.time() - began < 30
 
 
 def test_minimax_is_least():
@@ -252,6 +375,19 @@ def test_minimax_is_least():
         assert least == cap
 
 
+def test_sharding_is_least_over_texts(spark, monkeypatch):
+    random.seed(14)
+    rows = [(i, "t" * random.choice([3, 9, 40, 400]) + str(random.randrange(150))) for i in range(600)] + [(None, None)] * 5
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bits, shards in ((15, 24), (3, 5), (1, 24)):
+        monkeypatch.setattr(sharding, "FIRST_BITS", bits)
+        got = sharding.shard(d, shards).join(d.selectExpr("crc32(cast(coalesce(text, '') as binary)) text_crc32", "xxhash64(cast(coalesce(text, '') as binary)) h").distinct(), "text_crc32").toPandas()
+        sizes = got.assign(u=[h % 2**64 for h in got.h]).groupby("u")["size"].sum().sort_index().tolist()
+        assert got.groupby("shard")["size"].sum().max() <= sharding.minimax(sizes, shards)[0]
+        assert (got.groupby("text_crc32").shard.nunique() == 1).all() and len(got) == len(rows)
+        assert got.sort_values("h", key=lambda c: [h % 2**64 for h in c]).shard.is_monotonic_increasing
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, 24).toPandas()
     assert len(rows) == docs.count()
@@ -291,7 +427,7 @@ def test_pii(spark, docs, empty):
         assert hashlib.sha256(base.encode()).hexdigest() == got[d.doc_id].base_sha256, (d.doc_id, base, got[d.doc_id].spans)
         assert set(filter(None, base.split(","))) <= set(got[d.doc_id].spans.split(","))
     clean = pii.redact(every).where(f"doc_id >= {10**6}").orderBy("doc_id").collect()
-    assert clean[0].text == "[EMAIL][EMAIL] [IP].5 999.1.1.1 4111 1111 1111 1111 [PHONE]." and clean[3].text == "a@[EMAIL]"
+    assert clean[0].text == "[EMAIL][EMAIL] [IP].5 999.1.1.1 [INNER_CARD] [PHONE]." and clean[3].text == "a@[EMAIL]"
     assert pii.detect(empty).count() == 0
 
 
@@ -308,12 +444,49 @@ def test_cards_within_runs(spark, docs):
     assert [r.text for r in kept.where(f"doc_id >= {10**6}").orderBy("doc_id").collect()][:4] == ["[INNER_CARD] 12/27", "[INNER_CARD] [INNER_CARD]", "order 17 [INNER_CARD] x", "1234 [INNER_CARD] [INNER_CARD] 9"]
 
 
-def test_em_trusts_labelers_that_agree():
-    p = pii.estimate({(4, "ayyy"): 50, (4, "anan"): 50})
-    assert p[4, "ayyy"] > 0.5 > p[4, "anan"]
+def test_extra_spans_against_plain_ones(spark):
+    texts = ["x@y.com (555) 234-5678 and 555-234-5678x", "ssn 123-45-6789,123-45-6789 bob [at] site [dot] com", "1.2.3.4 555.234.5678 a@b.co 555-23-4567", None, "", "p@q.de" * 300 + " 555-234-5678 " * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = {k: pii.PATTERNS[k] for k in ("local_phone", "national_id", "spelled_email")}
+    for r in d.select("doc_id", pii.candidates(pii.F.coalesce("text", pii.F.lit(""))).alias("spans")).collect():
+        t = texts[r.doc_id] or ""
+        base = [(m.start(), m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if holds(k, m[0])]
+        extra = [(m.start(), m.end(), k) for k, p in plain.items() for m in re.finditer(p, t) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        got = sorted((s.start, s.end, pii.KINDS[s.kind]) for s in r.spans if s.valid and pii.KINDS[s.kind] != "inner_card")
+        assert got == sorted(base + extra)
+        assert [(s.start, s.kind) for s in r.spans] == sorted((s.start, s.kind) for s in r.spans)
+
+
+def test_em_finds_the_truth_of_simulated_votes():
+    random.seed(15)
+    real, other, share = [0.95, 0.9, 0.7, 0.6, 0.85], [0.2, 0.1, 0.3, 0.4, 0.5], {0: 0.7, 5: 0.2}
+    counts, right = {}, 0
+    for _ in range(20_000):
+        k = random.choice([0, 5])
+        truth = random.random() < share[k]
+        votes = "".join("a" if random.random() < 0.1 else "y" if random.random() < (real if truth else other)[i] else "n" for i in range(5))
+        c = counts.setdefault((k, votes, "000"), [0, 0])
+        c[truth] += 1
+    cells, post, got_real, got_other = pii.reliabilities({c: sum(v) for c, v in counts.items()})
+    assert np.allclose(got_real, real, atol=0.05) and np.allclose(got_other, other, atol=0.05)
+    p = pii.estimate({c: sum(v) for c, v in counts.items()})
+    right = sum(counts[c][int(p[c] >= 0.5)] for c in counts)
+    best = sum(max(v) for v in counts.values())
+    assert right >= 0.99 * best
     assert pii.estimate({}) == {}
 
 
+def test_spans_take_linear_time(spark):
+    import time
+
+    n = 24_000
+    text = " ".join(f"user{i}@mail{i % 7}.com" for i in range(n))
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    assert pii.detect(d).first().n_email == n and time.time() - began < 30
+    assert pii.redact(d).first().text == " ".join(["[EMAIL]"] * n)
+
+
 def components(rows):
     sets, rep, parent = {}, {}, {}
     for d, t in rows:
@@ -343,7 +516,7 @@ def test_near_duplicates(spark, docs, empty):
     random.seed(6)
     base = [f"w{i}" for i in range(200)]
     rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").distinct().collect()]
-    for i in range(700):  # more near copies than a block holds
+    for i in range(700):  # more near copies than a part holds
         w = list(base)
         for _ in range(random.randint(0, 8)):
             w[random.randrange(200)] = f"x{random.randrange(50)}"
@@ -352,17 +525,74 @@ def test_near_duplicates(spark, docs, empty):
     want = components(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(every).collect()}
     assert got == want
-    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.deduplicate(empty).count() == 0
     alone = near_dedup.near_duplicates(docs.where("doc_id is null")).collect()
     assert [(r.component_id, r.kept) for r in alone] == [(None, True)]
 
 
-def test_region_of_large_hashes(spark):
-    # Some thousand members of a region whose hashes are all large: sums of 55 bits and more leave a bigint.
-    reps = spark.range(4000).selectExpr("id rep", f"unhex(repeat('0a', {4 * near_dedup.ORDERS * near_dedup.DEPTH})) signature").where("xxhash64(rep) > 4611686018427387904")
-    n = reps.count()
-    placed = near_dedup._candidates(reps).collect()
-    assert n > 600 and len(placed) >= n and {r.m for r in placed} == {n}
+def test_crowded_regions_of_many_components(spark, monkeypatch):
+    # Small parts, so that depth adapts, whole signatures repeat, and components meet only in the exact rest.
+    monkeypatch.setattr(near_dedup, "REGION", 8)
+    random.seed(7)
+    rows = []
+    for i in range(160):
+        own = [f"q{i % 40}_{j}" for j in range(random.randint(8, 40))]
+        shared = [f"z{j}" if random.random() > 0.02 else f"y{random.randrange(9)}" for j in range(60)]
+        rows.append((i, " ".join(shared + own)))
+    rows += [(200 + i, " ".join(["z"] * 5 + [f"a{i}"])) for i in range(30)]
+    every = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(every).collect()}
+    assert got == want and 20 < len({c for _, c in want.values()}) < 170
+
+
+def test_rows_are_linked_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a, "p"), (1, b, "p"), (2, a[:-2] + "zz", "p"), (3, b[:-2] + "zz", "p"), (5, a, "q"), (5, "quite another text of its own", "q"), (None, a, "r"), (None, b + " c", "r"), (None, "nobody knows whose text this is", "s"), (None, "nobody knows whose text this is", "s"), (9, None, "t"), (9, None, "t"), (9, "", "t"), (1, a, "p2")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, k1 string")
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept, r.n_shingles) for r in near_dedup.near_duplicates(d).collect())
+    assert got == sorted([("1", "1", True, 56)] * 3 + [("2", "1", False, 56), ("3", "1", False, 56), ("5", "1", False, 56), ("5", "5", True, 2), ("None", "1", False, 56), ("None", "1", False, 57)] + [("None", "None", True, 2)] * 2 + [("9", "9", True, 0)] * 3)
+    kept = near_dedup.deduplicate(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (5, rows[5][1]), (None, rows[8][1]), (9, None), (9, None), (9, "")]))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = " ".join(f"bench{i}" for i in range(30))
+    b = spark.createDataFrame([(1, bench), (2, None), (None, "plain")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i > 195)) for i in range(200)] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    unique = "a unique text that nobody else has written down before today"
+    rows = [(None, bench, 1), (1, bench, 2), (5, unique, 3), (5, "one more text, mail me at bob@mail3.com today my friend", 4), (6, unique, 5), (None, None, 6), (7, "", 7), (8, "word " * 30000, 8), (None, "no id but a fine text of its own making here", 9)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = spark.createDataFrame(stage(spark, d, str(tmp_path)).collect(), d.schema)
+    assert sorted(r.score for r in d.collect()) == [3, 4, 6, 7, 8, 9]
+    assert {r.text for r in d.where("score = 4").collect()} == {"one more text, mail me at [EMAIL] today my friend"}
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
+    assert packed.groupBy("doc_id").count().count() == 4
+    none = d.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_topk", "op4_decontamination", "op10_near_dedup"])
+def test_oracles(spark, name):
+    import duckdb
+
+    from lexforge.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas(), con.sql(registry.ORACLES[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(tuple, got[cols].astype(str).to_numpy())) == sorted(map(tuple, want[cols].astype(str).to_numpy()))
 
 
 def test_pipeline(spark):
