@@ -35,8 +35,8 @@ SHINGLE = 5
 ORDERS, FIRST, DEPTH = 20, 4, 3
 #: Prefix lengths that crowded regions are cut by in turn; the last is the whole signature.
 DEEPER = (6, 12, 24, 60)
-#: Classes compared at once in one task, on each side.
-REGION = 256
+#: Classes of a part that is compared whole; of a larger region's rest, classes of one block.
+REGION = 512
 #: Link when 100 * intersection >= SHARE * union.
 SHARE = 75
 CACHE_LIMIT = 400_000
@@ -108,10 +108,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """set_hash, signature, and the first row of each class: doc_id (nulls last), n (rows of it alike), k1."""
-    alike = rows.where("set_hash is not null").groupBy("set_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"), F.first("signature").alias("signature"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "k1")).alias("r")
-    return alike.groupBy("set_hash").agg(first, F.first("signature").alias("signature")).select("set_hash", "signature", "r.doc_id", "r.n", "r.k1")
+    """set_hash, signature, and the first row of each class: doc_id (nulls last) and k1."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).alias("r")
+    known = rows.where("set_hash is not null").groupBy("set_hash").agg(first, F.first("signature").alias("signature"))
+    return known.select("set_hash", "signature", "r.doc_id", "r.k1")
 
 
 def prefix(order: Column, depth: int) -> Column:
@@ -130,19 +130,20 @@ def _regions(classes: DataFrame) -> DataFrame:
     """
     orders = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda o: F.struct(o.alias("ord"), prefix(o, DEPTH).alias("region"))))
     placed = cut(classes.select("set_hash", orders.alias("o")).select("set_hash", "o.ord", "o.region"))
+    # Most regions hold one class: only counts are shuffled for those.
+    sizes = cut(placed.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    near = cut(sieve(placed, "region", sizes, "shared").where("shared").drop("shared").join(sizes, "region"))
     member = F.xxhash64("set_hash")
-    sizes = placed.groupBy("region").agg(
+    alike = near.groupBy("region", "m").agg(
         F.min("ord").alias("ord"),
-        F.count(F.lit(1)).alias("m"),
         F.sum(F.shiftright(member, 32)).alias("s"),
         F.sum(member.bitwiseAND(F.lit(2**32 - 1))).alias("t"),
         F.bit_xor(member).alias("x"),
         F.min(member).alias("low"),
     )
-    sizes = cut(sizes.where("m > 1").groupBy("m", "s", "t", "x", "low").agg(F.sort_array(F.collect_list(F.struct("ord", "region"))).alias("same")))
-    each = sizes.select("m", F.posexplode("same").alias("i", "r")).select("r.region", "m", (F.col("i") > 0).alias("twin"), F.col("r.ord").alias("ord"))
-    each = each.where(f"not twin or (m > {REGION} and ord < {FIRST})").drop("ord")
-    near = sieve(placed, "region", cut(each), "shared").where("shared").drop("shared")
+    same = alike.groupBy("m", "s", "t", "x", "low").agg(F.sort_array(F.collect_list(F.struct("ord", "region"))).alias("same"))
+    each = same.select("m", F.posexplode("same").alias("i", "r")).select("r.region", "m", (F.col("i") > 0).alias("twin"), F.col("r.ord").alias("ord"))
+    each = each.where(f"not twin or (m > {REGION} and ord < {FIRST})").select("region", "twin")
     return cut(near.join(each, "region").select("set_hash", "ord", "region", "m", "twin"))
 
 
@@ -174,7 +175,7 @@ def _rest(places: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = open_.select("region", F.col("top.component").alias("large"), F.col("top.n").alias("n"))
     member = once.join(open_, "region")
     inside = F.col("component") == F.col("large")
-    blocks = lambda n: F.ceil(n / F.lit(REGION // 2)).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(REGION)).cast("int")
     n_in, n_out = blocks(F.col("n")), blocks(F.col("m") - F.col("n"))
     block = lambda n: F.pmod(F.xxhash64("set_hash", F.lit(7)), n).cast("int")
     pair = lambda kind, i, j, side: F.struct(F.xxhash64("region", F.lit(kind), i, j).alias("part"), side.cast("int").alias("side"))
@@ -183,7 +184,7 @@ def _rest(places: DataFrame, labels: DataFrame) -> DataFrame:
     across_out = lambda b: F.transform(F.sequence(zero, n_in - 1), lambda j: pair("x", b, j, zero))
     across_in = lambda b: F.transform(F.sequence(zero, n_out - 1), lambda j: pair("x", j, b, one))
     whole = F.array(pair("w", zero, zero, zero))
-    pairs = F.when(F.col("m") <= REGION, whole).when(inside, across_in(block(n_in))).otherwise(F.concat(others(block(n_out)), across_out(block(n_out))))
+    pairs = F.when(F.col("m") <= 2 * REGION, whole).when(inside, across_in(block(n_in))).otherwise(F.concat(others(block(n_out)), across_out(block(n_out))))
     return member.select("set_hash", F.explode(pairs).alias("p")).select("set_hash", "p.part", "p.side")
 
 
@@ -292,24 +293,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """set_hash, component_id (least doc_id reachable, null without any), keeper (set_hash of the class that holds
-    its first row) and n (rows alike with that first row) for every class of ``rows``, the sketches of ``docs``."""
+    """set_hash, component_id (least doc_id reachable, null without any) and keeper (set_hash of the class that holds
+    its first row) for every class of ``rows``, the sketches of ``docs``."""
     classes = cut(classes_of(rows))
     places = _regions(classes)
     labels = cut(components(_links(docs, classes, _leaves(classes, places))))
     more = _links(docs, classes, _rest(places, labels))
-    named = classes.select("set_hash", "doc_id", "n").join(labels.withColumnRenamed("node", "set_hash"), "set_hash", "left")
-    named = named.select("set_hash", "doc_id", "n", F.coalesce("component", "set_hash").alias("component"))
+    named = classes.select("set_hash", "doc_id").join(labels.withColumnRenamed("node", "set_hash"), "set_hash", "left")
+    named = named.select("set_hash", "doc_id", F.coalesce("component", "set_hash").alias("component"))
     if not more.isEmpty():
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
         again = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         named = named.join(again.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
-        named = named.select("set_hash", "doc_id", "n", F.coalesce("further", "component").alias("component"))
+        named = named.select("set_hash", "doc_id", F.coalesce("further", "component").alias("component"))
     named = cut(named)
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_hash", "n")).alias("r"))
-    least = least.select("component", F.col("r.doc_id").alias("component_id"), F.col("r.set_hash").alias("keeper"), F.col("r.n").alias("n"))
-    return named.select("set_hash", "component").join(least, "component").select("set_hash", "component_id", "keeper", "n")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_hash")).alias("r"))
+    least = least.select("component", F.col("r.doc_id").alias("component_id"), F.col("r.set_hash").alias("keeper"))
+    return named.select("set_hash", "component").join(least, "component").select("set_hash", "component_id", "keeper")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -340,10 +341,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     joined = rows.select("doc_id", "k1", "k2", "set_hash").join(found, "set_hash")
     stays = (F.col("set_hash") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = without(docs, cut(joined.where(~stays).select("k1", "k2")))
-    again = cut(joined.where(stays & (F.col("n") > 1)).select("k1", "k2", "set_hash").distinct())
+    more = cut(joined.where(stays).groupBy("set_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set_hash"))
+    again = cut(joined.where(stays).join(more, "set_hash").select("k1", "k2", "set_hash").distinct())
     if again.isEmpty():
         return kept
-    # Rows alike, some with other white space or other columns: the first of each set stays.
+    # Rows of one id and one set, some with other white space or other columns: the first of each set stays.
     k1, k2, name = fresh(docs, "_k1", "_k2", "_set")
     a, b = keys()
     keyed = kept.withColumn(k1, a).withColumn(k2, b)
