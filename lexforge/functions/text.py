@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and word lists that results depend on.
+# Fixed value: words with inner hyphens and dots.
 TOKEN = r"(?U)\b[\w\-\.]+\b"
-CITATION = r"\[?\d{4}\]?\s+(?:SCC|ONCA|ONSC|BCCA|BCSC|ABCA|FCA|FC)\s+\d+"
-DATE = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, though lambdas in the body use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lower_tokens(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import lower_tokens
+from lexforge.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -47,11 +48,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     corpus. ``allowed`` (a table of ids) restricts what is ranked, not the statistics.
     """
     q = query_terms(queries, query_id, text_col)
-    wanted = q.select("term").distinct()
-    tokens = docs.select(F.col(doc_id).alias("id"), lower_tokens(F.col(text_col)).alias("tokens"))
-    sized = tokens.select("id", "tokens", F.size("tokens").alias("dl"))
-    corpus = docs.select(F.size(lower_tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = q.select("term").distinct().withColumn("known", F.lit(True))
+    sized = docs.select(F.col(doc_id).alias("id"), lower_tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    # One row a document without a term beside its words, so that texts are tokenised once for statistics and postings.
+    words = sized.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    kept = words.join(wanted, "term", "left").where("known or term is null")
+    kept = cut(kept.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    corpus = kept.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    postings = kept.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         postings = postings.join(allowed, "id", "left_semi")

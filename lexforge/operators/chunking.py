@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import word_count
+from lexforge.functions.text import let, word_count
 
 BUDGET = 120
 #: Words a chunk aims at, by kind of content; a longer paragraph than ``MOST`` stands alone, and a tail
@@ -26,9 +26,9 @@ HEADINGS = {
     "between": ["BETWEEN"],
     "before": ["BEFORE"],
 }
-NUMBERING = r"(?:[IVXLCDM]+\.?\s+|[A-Z]\.?\s+|[0-9]+\.?\s+)?"
-STATUTE = [r"(?i)(?:s\.|section)\s*[0-9]+", r"\([0-9]+\)\s*[A-Z]", r"(?i)\b(?:shall|must|may not|is prohibited)\b"]
-LIST = r"(?m)^\s*(?:[-•*]|\([a-z]\)|\([ivx]+\)|[0-9]+\.)\s+"
+NUMBERING = r"(?:[IVXLCDM]+\.?\s+|[A-Z]\.?\s+|\d+\.?\s+)?"
+STATUTE = [r"(?i)(?:s\.|section)\s*\d+", r"\(\d+\)\s*[A-Z]", r"(?i)\b(?:shall|must|may not|is prohibited)\b"]
+LIST = r"(?m)^\s*(?:[-•*]|\([a-z]\)|\([ivx]+\)|\d+\.)\s+"
 
 
 def normalise(text: Column) -> Column:
@@ -45,19 +45,23 @@ def sentences(text: Column) -> Column:
 def pack_sentences(parts: Column, budget: int = BUDGET) -> Column:
     """Chunks of consecutive sentences within ``budget`` words; a longer sentence stands alone.
 
-    One fold a document: the accumulator holds finished chunks and the open one.
+    The fold goes over numbers of words alone and gives the sentence each chunk begins at; texts are joined once.
     """
-    state = "struct<done:array<string>,open:string,n:int>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n")).cast(state)
+    state = "struct<starts:array<int>,n:int>"
+    begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n")).cast(state)
 
-    def step(acc: Column, s: Column) -> Column:
-        n = word_count(s)
-        fits = acc["n"] + n <= budget
-        grown = F.struct(acc["done"].alias("done"), F.when(acc["n"] == 0, s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"), (acc["n"] + n).alias("n"))
-        closed = F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open"), n.alias("n"))
-        return F.when(fits | (acc["n"] == 0), grown).otherwise(closed).cast(state)
+    def packed(p: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            fits = (acc["n"] > 0) & (acc["n"] + x["n"] <= budget)
+            grown = F.struct(acc["starts"].alias("starts"), (acc["n"] + x["n"]).alias("n"))
+            opened = F.struct(F.concat(acc["starts"], F.array(x["i"])).alias("starts"), x["n"].alias("n"))
+            return F.when(fits, grown).otherwise(opened).cast(state)
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+        counts = F.transform(p, lambda s, i: F.struct(word_count(s).alias("n"), i.alias("i")))
+        starts = F.aggregate(counts, begin, step, lambda a: a["starts"])
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.array_join(F.slice(p, s + 1, F.coalesce(F.get(at, i + 1), F.size(p)) - s), " ")))
+
+    return let(parts, packed)
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

@@ -40,27 +40,84 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return left.join(nodes.select(F.col("id").alias("object")), "object", "left_semi").select(*edges.columns)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """id, score after a fixed number of rounds; nodes without out-edges spread their score evenly.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """id, score; nodes without out-edges spread their score evenly.
 
-    Each round is one join and one partially combined sum; the lineage is cut every few rounds.
+    Ends when the scores change by less than ``tolerance`` a node in sum, or after ``rounds``. Each round is one join
+    and one partially combined sum, materialised, so that plans do not grow.
     """
     out = edges.groupBy("subject").agg(F.count(F.lit(1)).alias("out"))
     links = cut(edges.join(out, "subject").select(F.col("subject").alias("id"), F.col("object").alias("to"), "out"))
-    n = nodes.count()
-    base = cut(nodes.select("id").join(out.withColumnRenamed("subject", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
-    rank = base.select("id", "dangling", F.lit(1.0 / max(n, 1)).alias("score"))
-    for i in range(rounds):
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"))
+    base = nodes.select("id").join(out.withColumnRenamed("subject", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"))
+    n = max(nodes.count(), 1)
+    rank = cut(base.select("id", "dangling", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("was")))
+    for _ in range(rounds):
+        lost, change = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)), F.sum(F.abs(F.col("score") - F.col("was")))).first()
+        if (change or 0.0) < tolerance * n:
+            break
         got = rank.join(links, "id").groupBy("to").agg(F.sum(F.col("score") / F.col("out")).alias("got")).withColumnRenamed("to", "id")
-        fresh = base.join(got, "id", "left").join(F.broadcast(lost), how="cross")  # one row
-        score = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        rank = fresh.select("id", "dangling", score.alias("score"))
-        if i % every == every - 1:
-            rank = cut(rank)
+        score = F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("got", F.lit(0.0))
+        rank = cut(rank.join(got, "id", "left").select("id", "dangling", score.alias("score"), F.col("score").alias("was")))
     return rank.select("id", "score")
 
 
+def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes, edges and density m / (n (n - 1)) of a directed graph; 0 below two nodes."""
+    n, m = nodes.agg(F.count(F.lit(1)).alias("nodes")), edges.agg(F.count(F.lit(1)).alias("edges"))
+    pairs = F.col("nodes") * (F.col("nodes") - 1)
+    return n.join(F.broadcast(m), how="cross").withColumn("density", F.coalesce(F.try_divide(F.col("edges").cast("double"), pairs), F.lit(0.0)))  # one row each
+
+
+def find_entity(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id and the id of the node an entity means: of ``asked(query_id, q)`` and ``names(id, name, ord)``.
+
+    Equal but for case comes first, then a name that holds the question or is held by it; of those the first by
+    ``ord``. ``names`` is a lookup of checked size at the caller's, as the containment test has no key.
+    """
+    low = lambda c: F.lower(F.col(c))
+    match = (low("name") == low("q")) | F.contains(low("name"), low("q")) | F.contains(low("q"), low("name"))
+    hits = asked.where("q != ''").join(F.broadcast(names), match)
+    best = hits.groupBy("query_id").agg(F.min(F.struct((low("name") != low("q")).alias("other"), "ord", "id")).alias("r"))
+    return best.select("query_id", "r.id")
+
+
+def node_scores(ranks: DataFrame, words: DataFrame, question) -> DataFrame:
+    """id and rank times (0.1 + share of the question's words in the node's) of ``ranks(id, score)``, ``words(id, words)``."""
+    share = F.when(F.size(question) == 0, 0.0).otherwise(F.size(F.array_intersect(question, "words")) / F.size(question))
+    return ranks.join(words, "id").select("id", (F.col("score") * (0.1 + share)).alias("score"))
+
+
+def backpropagate(tree: DataFrame, rewards: DataFrame, most_depth: int = 64) -> DataFrame:
+    """id, visits, total of ``tree(id, parent)`` after each of ``rewards(id, reward)`` is added to a node and all above it.
+
+    Rewards climb one level a round, summed at each, so a round shuffles one row a node; lineage is cut each round.
+    """
+    level = rewards.groupBy("id").agg(F.count(F.lit(1)).alias("visits"), F.sum("reward").alias("total"))
+    every = level
+    for _ in range(most_depth):
+        level = level.join(tree, "id").where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("visits").alias("visits"), F.sum("total").alias("total"))
+        level = cut(level)
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    return every.groupBy("id").agg(F.sum("visits").alias("visits"), F.sum("total").alias("total"))
+
+
+def best_path(tree: DataFrame, most_depth: int = 64) -> DataFrame:
+    """root, step, id: from each root the visited child of best mean, again and again, of ``tree(id, parent, visits, total)``."""
+    mean = F.col("total") / F.col("visits")
+    best = tree.where("visits > 0 and parent is not null").groupBy("parent").agg(F.max_by("id", F.struct(mean, -F.col("id"))).alias("child"))
+    best = cut(best)
+    at = tree.where("parent is null").select(F.col("id").alias("root"), F.lit(0).alias("step"), "id")
+    path = at
+    for step in range(1, most_depth):
+        at = cut(at.join(best, F.col("id") == F.col("parent")).select("root", F.lit(step).alias("step"), F.col("child").alias("id")))
+        if at.isEmpty():
+            break
+        path = path.unionByName(at)
+    return path
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and the least id of its weakly connected component, by least labels and pointer jumps."""
     both = cut(edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(edges.select("object", "subject")).distinct())
@@ -77,9 +134,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linearize(edges: DataFrame, most: int = 10) -> DataFrame:
-    """relation and its edges as sorted text, at most ``most`` each, with the number of all."""
-    order = Window.partitionBy("relation").orderBy("subject", "object")
-    ranked = edges.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    text = ranked.groupBy("relation").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" -> ", "subject", "object"))), "; ").alias("text"))
-    n = edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
-    return text.join(n, "relation")
+    """relation and its first ``most`` edges as sorted text, with the number of all.
+
+    Each task keeps its own first edges a relation, so that a relation of any size sends few rows to the last step.
+    """
+    text = F.concat_ws(" -> ", "subject", "object")
+    kept = edges.select("relation", F.struct("subject", "object", text.alias("t")).alias("e"), F.pmod(F.xxhash64("subject", "object"), F.lit(64)).alias("part"))
+    by = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("e"))
+    few = kept.withColumn("r", by("relation", "part")).where(F.col("r") <= most)
+    last = few.withColumn("r", by("relation")).where(F.col("r") <= most)
+    joined = last.groupBy("relation").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]), "; ").alias("text"))
+    return joined.join(edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")), "relation")

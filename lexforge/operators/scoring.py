@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.text import count_patterns, count_phrases, lower_tokens, word_count
 
-# Marks of exact and of open questions.
-KEYWORD_PATTERNS = [r"(?i)\bsection\s+\d+", r"(?i)\bv\.\s", r"\b\d{4}\s+[A-Z]{2,}\s+\d+", r'"[^"]+"', r"(?i)\bact\b"]
-SEMANTIC_PHRASES = ["what is", "how does", "why", "explain", "difference between", "factors", "when should", "relationship"]
-COMPLEX_PHRASES = ["compare", "analyze", "implications", "multiple", "step by step", "pros and cons", "evaluate"]
+# Marks of exact, of open and of complex questions, and the weights of word and vector scores.
+KEYWORD_PATTERNS = [
+    r"\d{4}\s+[A-Z]{2,6}\s+\d+",
+    r"\b[Ss]\.?\s*\d+",
+    r"\b[Ss]ection\s+\d+",
+    r"\bESA\b|\bOHSA\b|\bCLC\b|\bSCC\b",
+    r"\bAct\b.*\b\d{4}\b",
+    r"\b[A-Z][a-z]+\s+v\.?\s+[A-Z][a-z]+",
+]
+SEMANTIC_PHRASES = [
+    "what factors", "how does", "explain", "describe", "what is the difference", "compare", "relationship between",
+    "what are", "why is", "when should", "in what circumstances", "what considerations", "how to determine",
+]
+COMPLEX_PHRASES = [
+    "and also", "in addition", "compared to", "versus", "how does", "what are all", "comprehensive", "multiple",
+    "different", "interact", "relationship between", "both", "as well as", "furthermore", "across",
+]
 WEIGHTS = {"keyword": (0.7, 0.3), "semantic": (0.2, 0.8), "hybrid": (0.4, 0.6)}
 
 
 def query_class(text: Column) -> Column:
-    kw, sem = count_patterns(text, KEYWORD_PATTERNS), count_phrases(text, SEMANTIC_PHRASES)
+    kw, sem = count_patterns(text, [f"(?i){p}" for p in KEYWORD_PATTERNS]), count_phrases(text, SEMANTIC_PHRASES)
     return F.when((kw >= 2) | ((kw >= 1) & (sem == 0)), "keyword").when((sem >= 2) | ((sem >= 1) & (kw == 0)), "semantic").otherwise("hybrid")
 
 
@@ -44,20 +57,23 @@ def evidence_heuristic(evidence: Column, question: Column) -> Column:
     return F.when(n == 0, pieces).otherwise(0.7 * hits / F.greatest(n, F.lit(1)) + 0.3 * pieces)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Element floor(p n), at most the last, of the sorted non-null values of a group."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.least(F.floor(F.lit(p) * F.size(s)), F.size(s) - 1).cast("int"))
-
-
-def nearest_rank_by_count(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """The same for groups of any size: values are counted first, then a running count finds the rank."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*by, value, upto.alias("upto"), F.sum("c").over(w).alias("n"))
-    target = F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
-    return ranked.where(F.col("upto") > target).groupBy(*by).agg(F.min(value).alias(value))
+def nearest_rank_by_count(df: DataFrame, by: list[str], value: str, p: float, ranges: int = 256) -> DataFrame:
+    """Element floor(p n), at most the last, of the sorted non-null values of each group, of any size.
+
+    Values are counted by range between the group's least and greatest; the range that holds the rank is found from
+    ``ranges`` counts, and only its values are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    placed = rows.join(ends, by).withColumn("_cell", F.least(F.floor(share * ranges), F.lit(ranges - 1)))
+    cells = placed.groupBy(*by, "_cell", "_n").agg(F.count(F.lit(1)).alias("_c"))
+    ahead = F.sum("_c").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    target = F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1)
+    wanted = cells.withColumn("_ahead", ahead).where((F.col("_ahead") <= target) & (target < F.col("_ahead") + F.col("_c"))).select(*by, "_cell", (target - F.col("_ahead")).alias("_at"))
+    counts = placed.join(wanted, [*by, "_cell"]).groupBy(*by, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_upto", upto).where("_upto > _at").groupBy(*by).agg(F.min("_v").alias(value))
 
 
 def feedback_summary(df: DataFrame, by: list[str]) -> DataFrame:

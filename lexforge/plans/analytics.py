@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators import classifier, filters, graph, scoring
-from lexforge.session import table
+from lexforge.session import cut, table
 from lexforge.streaming import events as E
 
 QUERIES: dict = {}
@@ -149,11 +149,13 @@ def win_bounded_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("r", r).where("r <= 5").select("user_id", "event_id")
 
 
-@query("""select conv_id, count(*) turns, sum(length(text)) chars, max(turn) last_turn, sum((role = 'user')::int)::bigint asked from conversations group by 1""")
+@query("""with heads as (select conv_id, min(turn) first_turn, arg_min(role, turn) opened_by from conversations group by 1)
+select c.conv_id, turn, role, opened_by, turn - first_turn as since from conversations c join heads using (conv_id)""")
 def join_inner_equi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"), F.sum((F.col("role") == "user").cast("int")).alias("asked")
-    )
+    """Messages with their conversation: who opened it, and how many turns before."""
+    c = table(spark, sf_dir, "conversations")
+    heads = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.min_by("role", "turn").alias("opened_by"))
+    return c.join(heads, "conv_id").select("conv_id", "turn", "role", "opened_by", (F.col("turn") - F.col("first_turn")).alias("since"))
 
 
 @query("""select n_name, r_name, count(*) customers, round(sum(c_acctbal), 2) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2""")
@@ -213,11 +215,11 @@ r{i + 1} as (select base.id, base.out, 0.15 / c + 0.85 * (coalesce(got, 0) + los
     return head + f" select id, round(score, 8) score from r{rounds}"
 
 
-@query(_rank_sql(4))
+@query(_rank_sql(12))
 def kg_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("subject").alias("id")).union(edges.select("object")).distinct()
-    return graph.pagerank(nodes, edges, rounds=4).select("id", F.round("score", 8).alias("score"))
+    return graph.pagerank(nodes, edges, tolerance=1e-12).select("id", F.round("score", 8).alias("score"))
 
 
 @query(f"""with {EDGES}, d as (select o id, count(*) degree from e group by 1) select id, degree from d""")
@@ -225,9 +227,19 @@ def kg_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).groupBy(F.col("object").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query()
+@query(f"""{_rank_sql(12).replace("select id, round(score, 8) score from r12", "").replace("with e as", "with recursive e as")}, n1 as (select count(*) nodes from n), m as (select count(*) edges from e),
+reached(id) as (select min(id) from n union select b.o from reached join b on b.s = reached.id), top as (select id, score, row_number() over (order by round(score, 9) desc, id) k from r12)
+select nodes, edges, round(edges / (nodes * (nodes - 1.0::double)), 9) density, case when (select count(*) from reached) = nodes then 1 end::bigint components,
+(select string_agg(id, ',' order by k) from top where k <= 5) top from n1, m""")
 def agg_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_edges(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    """One row: nodes, edges, density, weakly connected components and the five nodes of best rank."""
+    edges = cut(_edges(spark, sf_dir))
+    nodes = cut(edges.select(F.col("subject").alias("id")).union(edges.select("object")).distinct())
+    best = graph.pagerank(nodes, edges, tolerance=1e-12).orderBy(F.desc(F.round("score", 9)), "id").limit(5)
+    top = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.round("score", 9), "id"))), lambda x: x["id"]), ",").alias("top"))
+    parts = graph.components(edges).agg(F.count_distinct("component").alias("components"))
+    d = graph.density(nodes, edges).select("nodes", "edges", F.round("density", 9).alias("density"))
+    return d.join(F.broadcast(parts), how="cross").join(F.broadcast(top), how="cross")  # one row each
 
 
 @query(f"""with {EDGES}, r as (select relation, s || ' -> ' || o t, row_number() over (partition by relation order by s, o) r, count(*) over (partition by relation) n from e)

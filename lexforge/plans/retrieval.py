@@ -229,7 +229,7 @@ def doc_summary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLASS_SQL = "case when kw >= 2 or (kw >= 1 and sem = 0) then 'keyword' when sem >= 2 or (sem >= 1 and kw = 0) then 'semantic' else 'hybrid' end"
-_KW_SQL = " + ".join(f"regexp_matches(text, '{p}')::int" for p in scoring.KEYWORD_PATTERNS)
+_KW_SQL = " + ".join(f"regexp_matches(text, '(?i){p}')::int" for p in scoring.KEYWORD_PATTERNS)
 _SEM_SQL = " + ".join(f"contains(lower(text), '{p}')::int" for p in scoring.SEMANTIC_PHRASES)
 
 
