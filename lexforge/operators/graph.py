@@ -106,8 +106,8 @@ def backpropagate(tree: DataFrame, rewards: DataFrame, most_depth: int = 64) ->
 def best_path(tree: DataFrame, most_depth: int = 64) -> DataFrame:
     """root, step, id: from each root the visited child of best mean, again and again, of ``tree(id, parent, visits, total)``."""
     mean = F.col("total") / F.col("visits")
-    best = tree.where("visits > 0 and parent is not null").groupBy("parent").agg(F.max_by("id", F.struct(mean, -F.col("id"))).alias("child"))
-    best = cut(best)
+    best = tree.where("visits > 0 and parent is not null").groupBy("parent").agg(F.min(F.struct((-mean).alias("m"), "id")).alias("r"))
+    best = cut(best.select("parent", F.col("r.id").alias("child")))
     at = tree.where("parent is null").select(F.col("id").alias("root"), F.lit(0).alias("step"), "id")
     path = at
     for step in range(1, most_depth):

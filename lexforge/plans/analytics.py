@@ -166,28 +166,12 @@ def join_lookup_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "customers", F.round("b", 2).alias("balance"))
 
 
-@query("""select c_custkey, count(o_orderkey) orders, round(coalesce(sum(o_totalprice), 0), 2) spent from customer left join orders on c_custkey = o_custkey group by 1""")
-def join_parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
-    c = table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left")
-    return c.select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("spent"))
-
-
 @query("""select o_orderkey, o_orderdate::date::varchar as day from orders order by o_orderdate desc, o_orderkey limit 50 offset 100""")
 def sort_recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(50)
     return o.select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
 
 
-@query("""with c as (select o_orderkey k, o_orderpriority p, 0 v from orders union all select o_orderkey, 'CHANGED', 1 from orders where o_orderstatus = 'F')
-select k, arg_max(p, v) p from c group by 1""")
-def sink_upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    base = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), F.lit(0).alias("v"))
-    new = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit("CHANGED").alias("p"), F.lit(1).alias("v"))
-    return filters.upsert(base, new, "k", "v").select("k", "p")
-
-
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph of suppliers, parts and nations: who supplies what, and who is where."""
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("p"), "l_partkey").alias("object")).distinct()

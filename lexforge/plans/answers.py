@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators import answers as A
-from lexforge.operators import bm25, chunking, ranking, scoring
-from lexforge.plans.retrieval import BM25_SQL, LISTS_SQL, _lists, tokens_sql
+from lexforge.operators import bm25, chunking, scoring
+from lexforge.plans.retrieval import BM25_SQL, tokens_sql
 from lexforge.session import shared_dir, table
 
 QUERIES: dict = {}
@@ -185,20 +185,6 @@ def sort_page_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("rank between 6 and 10").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""with {LISTS_SQL}, r as (select *, row_number() over (partition by query_id, list_id order by round(score, 9) desc, id) r from lists),
-f as (select query_id, id, sum(1.0::double / (60 + r)) score from r group by 1, 2),
-b as (select query_id, id, round(case when contains(lower(text), 'token') or contains(lower(text), 'licen') then score * 5.0 else score end, 6) score from f join documents on id = doc_id),
-k as (select *, row_number() over (partition by query_id order by score desc, id) rank from b) select query_id, id, score, rank::int as rank from k where rank <= 10""")
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists fused by rank, boosted by keywords, the ten best of every query."""
-    fused = ranking.rrf(_lists(spark, sf_dir)).select("query_id", "id", "score")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    terms = F.array(F.lit("token"), F.lit("licen"))
-    scored = fused.join(docs, "id").select("query_id", "id", F.round(ranking.boost(F.col("text"), terms, F.col("score")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where("rank <= 10")
-
-
 @query("""select doc_id, left(md5(coalesce(text, '')), 12) short_id, left(sha256(coalesce(text, '')), 16) cache_key,
 regexp_replace('doc_' || doc_id || '_chunk' || n_chars, '_chunk[0-9]+$', '') parent_id from documents""")
 def proj_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

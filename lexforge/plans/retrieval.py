@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.functions import legal as L
 from lexforge.operators import bm25, chunking, filters, ranking, scoring
+from lexforge.operators.numbering import number
 from lexforge.session import table
 
 QUERIES: dict = {}
@@ -158,10 +160,16 @@ def filter_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.metadata_filter(table(spark, sf_dir, "documents"), spec).select("doc_id", "lang", "source")
 
 
-@query("select doc_id from documents where contains(lower(text), 'password') or contains(lower(text), 'licen') or source = 'src3'")
+_TERMS_SQL = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in L.EMPLOYMENT_TERMS) + "]"
+
+
+@query(f"""with d as (select doc_id, source, lower(concat_ws(' ', source, lang, text)) t from documents)
+select doc_id from d where len(list_filter({_TERMS_SQL}, lambda k: contains(t, k))) > 0 or lower(source) in ('chrt', 'cirb', 'fpslreb', 'ohstc', 'sst', 'src3')""")
 def filter_keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.where(filters.contains_any(F.col("text"), ["password", "licen"]) | (F.col("source") == "src3")).select("doc_id")
+    """Documents whose fields hold any of the employment terms, or that come from a listed tribunal."""
+    text = F.concat_ws(" ", "source", "lang", "text")
+    listed = F.coalesce(F.lower("source").isin(*L.TRIBUNALS, "src3"), F.lit(False))
+    return table(spark, sf_dir, "documents").where(filters.contains_any(text, L.EMPLOYMENT_TERMS) | listed).select("doc_id")
 
 
 @query("select doc_id, left(text, 1000) content, length(text) n from documents where length(trim(text)) >= 200")
@@ -177,15 +185,8 @@ def join_anti_ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, case when length(text) > 500 then left(text, 500) || '...' else text end excerpt, row_number() over (order by doc_id) idx from documents")
 def proj_format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # Numbers over all rows: counts by range of ids first, so that no task sorts everything.
-    width = 1000
-    cell = F.floor(F.col("doc_id") / width)
-    ahead = docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = ahead.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    own = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id"))
-    numbered = docs.select("doc_id", "text", cell.alias("cell")).withColumn("own", own).join(ahead, "cell")
-    return numbered.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), (F.col("own") + F.col("ahead")).alias("idx"))
+    numbered = number(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "at")
+    return numbered.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), (F.col("at") + 1).alias("idx"))
 
 
 @query("""with r as (select page_id, url, html from pages) select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from lexforge.plans import analytics, answers, retrieval
+from lexforge.plans import analytics, answers, evaluation, retrieval, search, storage
 
-QUERIES: dict = {**retrieval.QUERIES, **analytics.QUERIES, **answers.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **analytics.ORACLES, **answers.ORACLES}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _plans in (retrieval, analytics, answers, storage, evaluation, search):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES
 FLAGSHIP = "bm25_search"

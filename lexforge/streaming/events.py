@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def windowed_metrics(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Count and sum of value by event type and time window; a watermark makes it run on streams."""
+def windowed_metrics(events: DataFrame, width: str = "1 hour", late: str | None = None, slide: str | None = None) -> DataFrame:
+    """Count and sum of value by event type and time window, tumbling or sliding; a watermark makes it run on streams."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if late:
         timed = timed.withWatermark("ts", late)
-    grouped = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    grouped = timed.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
@@ -25,6 +25,32 @@ def sliding_count(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("t", t).withColumn("n_trailing", F.count(F.lit(1)).over(w)).drop("t")
 
 
+def rate_limit(events: DataFrame, seconds: int, limits: dict[str, int], default: str = "free") -> DataFrame:
+    """Each of ``events(user_id, ts, tier)`` with n, its user's events in the trailing window with itself, remaining of
+    the tier's limit, and retry_after: seconds until the oldest of them leaves, where the limit is passed."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("_t").rangeBetween(1 - seconds * 1_000_000, 0)
+    counted = events.withColumn("_t", t).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_old", F.min("_t").over(w))
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in limits.items() for x in item]), F.col("tier")), F.lit(limits[default]))
+    wait = (F.lit(seconds * 1_000_000) - (F.col("_t") - F.col("_old"))) / 1e6
+    return counted.withColumn("remaining", F.greatest(F.lit(0), limit - F.col("n"))).withColumn("retry_after", F.when(F.col("n") > limit, wait)).drop("_t", "_old")
+
+
+def cache_hits(events: DataFrame, key: list[str], ttl: int) -> DataFrame:
+    """Each event with whether the one before it of the same key is ``ttl`` seconds old at most."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    before = F.lag(t).over(Window.partitionBy(*key).orderBy("ts", "event_id"))
+    return events.withColumn("hit", F.coalesce(t - before <= ttl * 1_000_000, F.lit(False)))
+
+
+def expired(events: DataFrame, key: str, state: str, ttl: int) -> DataFrame:
+    """The last state of each key, and whether it is older than ``ttl`` seconds at the end of the log."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    last = events.groupBy(key).agg(F.max(t).alias("_t"), F.max_by(state, "ts").alias("state"))
+    end = events.agg(F.max(t).alias("_end"))
+    return last.join(F.broadcast(end), how="cross").withColumn("expired", F.col("_end") - F.col("_t") > ttl * 1_000_000).drop("_t", "_end")  # one row
+
+
 def cooldown(events: DataFrame, seconds: float) -> DataFrame:
     """Each event with whether enough time passed since its user's event before."""
     before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

@@ -93,6 +93,61 @@ def test_vectors_beyond_a_block(spark, monkeypatch, metric):
     assert ranking.vector_top_k(rows_.selectExpr("id query_id", "v q").limit(0), rows_, 3, metric).count() == 0
 
 
+def test_index_recall(spark):
+    from lexforge.operators import ann
+
+    rows_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id id", "embedding v")
+    asked = rows_.where("id % 20 = 0").selectExpr("id query_id", "v q")
+    index = ann.build(rows_)
+    assert index[0].count() == rows_.count()
+    exact = {(r.query_id, r.id) for r in ranking.vector_top_k(asked, rows_, 10).collect()}
+    near = {(r.query_id, r.id) for r in ann.search(index, asked, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_fixture_values(spark):
+    from pyspark.sql import functions as F
+
+    from lexforge.functions import legal as L
+
+    docs = spark.createDataFrame([("c1", "Sagaz decided the worker classification test"), ("c2", "the notice period of Bardal factors applies"), ("c3", "contract law of all kinds")], "id string, text string")
+    got = bm25.search(docs, spark.createDataFrame([(1, "Sagaz worker classification")], "qid int, text string"), 5, doc_id="id", query_id="qid").collect()
+    assert [r.id for r in got] == ["c1"]
+    idf = bm25.build(spark.createDataFrame([(1, "apple banana"), (2, "apple orange"), (3, "cherry")], "id int, text string"), "id", "text")
+    terms = {r.term: round(r.idf, 6) for r in idf.terms.collect()}
+    assert terms["apple"] == 0.470004 and terms["cherry"] == terms["orange"] == 0.980829
+    classes = [("2020 ONSC 1234 section 56", "keyword"), ("What factors determine status and how does it differ?", "semantic"), ("employee status", "hybrid")]
+    got = spark.createDataFrame(classes, "q string, want string").select(scoring.query_class(F.col("q")).alias("k"), "want").collect()
+    assert all(r.k == r.want for r in got)
+    e = spark.createDataFrame([(["An employee works under control."], "what is an employee under control test?"), (["one", "two", "three"], "question"), (["one"], "question")], "e array<string>, q string")
+    assert [round(r[0], 2) for r in e.select(scoring.evidence_heuristic(F.col("e"), F.col("q"))).collect()][1:] == [0.3, 0.1]
+    terms = spark.createDataFrame([("In 2020 ONSC 1234, s. 5 and Section 56 of the ESA; Sagaz v. Canada, ESA",), (None,)], "t string").select(L.boost_terms(F.col("t")).alias("x")).collect()
+    assert terms[0].x[0] == "2020 onsc 1234" and "esa" in terms[0].x and "sagaz v. canada" in terms[0].x and len(terms[0].x) == len(set(terms[0].x)) and terms[1].x == []
+    said = ['{"score": 0.7}', 'x ```json\n{"score": 1.7}\n``` y', '{"score": 0.2, "why": "bec', '{"a": [1, 2', "none", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(L.judge_score(F.col("t"), "score").alias("s"), L.json_object(F.col("t")).alias("o")).collect()
+    assert [r.s for r in got] == [0.7, 1.0, 0.2, 0.5, 0.5, 0.5] and got[3].o == '{"a": [1, 2]}' and got[4].o is None
+    boosted = spark.createDataFrame([("About s. 5 here", "x", 1.0), ("nothing", "the ESA", 1.0), ("nothing", None, 1.0)], "c string, m string, s double").select(L.boosted(F.col("c"), [F.col("m")], F.array(F.lit("s. 5"), F.lit("esa")), F.col("s")).alias("s")).collect()
+    assert [r.s for r in boosted] == [5.0, 5.0, 1.0]
+    follow = spark.createDataFrame([("Answer.\n1. What now?\n- Why?\nDone.",)], "t string").select(L.follow_ups(F.col("t")).alias("q"), L.section_of(F.lit("II. ANALYSIS of it")).alias("s")).first()
+    assert follow.q == ["What now?", "Why?"] and follow.s == "analysis"
+
+
+def test_tree(spark):
+    tree = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r"), ("c", "a")], "id string, parent string")
+    got = {r.id: (r.visits, r.total) for r in graph.backpropagate(tree, spark.createDataFrame([("c", 1.0), ("b", 0.25)], "id string, reward double")).collect()}
+    assert got == {"c": (1, 1.0), "a": (1, 1.0), "b": (1, 0.25), "r": (2, 1.25)}
+    held = tree.join(spark.createDataFrame([(k, *v) for k, v in got.items()], "id string, visits bigint, total double"), "id")
+    assert [r.id for r in graph.best_path(held).orderBy("step").collect()] == ["r", "a", "c"]
+
+
+def test_numbering(spark):
+    from lexforge.operators.numbering import number
+
+    rows_ = spark.range(1000).selectExpr("(id * 7919) % 1000 as k").repartition(7)
+    assert [(r.k, r.at) for r in number(rows_, ["k"], "at").orderBy("k").collect()] == [(i, i) for i in range(1000)]
+    assert number(rows_.limit(0), ["k"], "at").count() == 0
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("x", "y", "S")], "subject string, object string, relation string")
     assert {r.id: r.depth for r in graph.bfs(e, spark.createDataFrame([("a",)], "id string"), 2).collect()} == {"a": 0, "b": 1, "c": 2}
