@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import caches
 from lexforge.llm.rows import fresh, keys, sieve, without
 from lexforge.session import cut, importable
 
@@ -39,12 +40,13 @@ DEEPER = (6, 12, 24, 60)
 REGION = 512
 #: Link when 100 * intersection >= SHARE * union.
 SHARE = 75
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 200_000
 
 _RNG = np.random.default_rng(20240601)
 _FACTORS = _RNG.integers(0, 2**31, ORDERS * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WEIGHTS = _RNG.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict[bytes, int] = {}
+caches.register("near_dedup", _WORDS.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,6 +95,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     k1, k2 = keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("near_dedup")
         for batch in batches:
             n, key, sig = [], [], []
             for t in batch.column("text").to_pylist():
@@ -194,6 +197,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = sieve(docs.select("text", keys()[0].alias("k1")), "k1", source, "wanted").where("wanted").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("near_dedup")
         for batch in batches:
             for t in batch.column("text").to_pylist():
                 s = shingles(t)
@@ -256,6 +260,7 @@ def _links(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     placed = parts.join(_sets(docs, classes, parts), "set_hash").select("set_hash", "part", "side", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        caches.claim("comparison")
         group = group.drop_duplicates("set_hash").sort_values("set_hash")
         if len(group) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)

@@ -9,6 +9,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
+from lexforge.llm import caches
+
 #: ASCII white space, as the tokenizers take it. Both vocabularies used here start a new token
 #: wherever white space follows other characters, so texts cut there encode chunk by chunk.
 SPACE = np.zeros(256, bool)
@@ -29,6 +31,7 @@ GENERATION = 500_000
 SLICE = 1 << 23
 
 _ENCODERS: dict[str, "Encoder"] = {}
+caches.register("tokens", _ENCODERS.clear)
 
 
 class Encoder:
@@ -121,7 +124,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+    """One encoder per worker process and file; the caches of other operators are let go."""
+    caches.claim("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import caches
 from lexforge.llm.labelled import apply_logistic, fold, logistic, sample
 from lexforge.session import cut, importable
 
@@ -31,7 +32,7 @@ TEACHING_ROWS = 6_000
 PRIOR, Z = 20.0, 5.0
 #: Lengths of the word beginnings that count beside whole words.
 STEMS = (4, 5, 6)
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 200_000
 #: Documents of this probability or more are toxic.
 THRESHOLD = 0.3
 #: Score of every token without evidence; it ends a passage after a few clean words.
@@ -178,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, keep) -> dict:
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("toxicity")
         by_half = [Scores(shared.value["1" if crossed else "all"]), Scores(shared.value["0" if crossed else "all"])]
         for batch in batches:
             got = [scan(t, by_half[h]) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
@@ -205,6 +207,7 @@ def toxic_probability(spark, model: dict):
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        caches.claim("toxicity")
         m = shared.value
         words = Scores(m.get("lexicon", {}))
         for texts in batches:
