@@ -25,8 +25,8 @@ ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\
 #: Their first bytes in UTF-8; only texts that hold one are searched for ODD.
 ODD_BYTES = np.zeros(256, bool)
 ODD_BYTES[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
-#: Chunks a generation of the cache; a worker holds two at most, about 200 MB.
-GENERATION = 500_000
+#: Chunks a generation of the cache; a worker holds two at most, about 100 MB.
+GENERATION = 250_000
 #: Bytes of text cut at once; a longer text is cut alone.
 SLICE = 1 << 23
 
