@@ -29,6 +29,8 @@ ODD_BYTES[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 GENERATION = 250_000
 #: Bytes of text cut at once; a longer text is cut alone.
 SLICE = 1 << 23
+#: Bytes the library encodes at once, but for a longer chunk: its results take some hundred times the ids' room.
+CALL = 1 << 18
 
 _ENCODERS: dict[str, "Encoder"] = {}
 caches.register("tokens", _ENCODERS.clear)
@@ -50,8 +52,13 @@ class Encoder:
         self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in batch]
+        out, at, sizes = [], 0, np.cumsum([len(t) for t in texts])
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CALL, side="right")))
+            batch = self.tokenizer.encode_batch_fast([t.decode() for t in texts[at:to]], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in batch]
+            at = to
+        return out
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """ids of each text; a null is empty."""
