@@ -162,7 +162,7 @@ def sink_upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = e.where("vec_id % 3 = 0").withColumn("version", F.lit(1)).withColumn("v", F.transform("v", lambda x: -x))
     best = e.unionByName(changed).groupBy("vec_id", "namespace").agg(F.max_by(F.struct("version", "v"), "version").alias("r")).select("vec_id", "namespace", "r.*")
     stored = S.replace(spark, best, _path(spark, "vectors"), ["namespace"])
-    return stored.select("vec_id", "namespace", "version", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x"))
+    return stored.select("vec_id", "namespace", "version", F.round(F.get("v", F.lit(0)), 6).cast("double").alias("x"))
 
 
 @query("""select vec_id, left(text, 10000) content, label || ',1,2' tags, len(embedding)::int dims from embeddings join documents on doc_id = vec_id where len(embedding) > 0""")
