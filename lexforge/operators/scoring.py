@@ -90,3 +90,16 @@ def pairwise(df: DataFrame, by: list[str], margin: float = 0.05) -> DataFrame:
     m = df.groupBy(*by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_samp(F.col("a") - F.col("b")).alias("spread"))
     d = F.col("mean_a") - F.col("mean_b")
     return m.withColumn("winner", F.when(F.abs(d) < margin, "tie").when(d > 0, "a").otherwise("b"))
+
+
+def histogram_quantile(within: list[Column], total: Column, bounds: list[float], q: float) -> Column:
+    """The q-quantile of a histogram: linear within its bucket, the last bound beyond it, null of none.
+
+    ``within`` are the numbers of values up to each of ``bounds``.
+    """
+    rank, found = total * q, F.lit(float(bounds[-1]))
+    for i in reversed(range(len(bounds))):
+        low, ahead = (float(bounds[i - 1]), within[i - 1]) if i else (0.0, F.lit(0))
+        at = F.lit(low) + F.lit(float(bounds[i]) - low) * F.try_divide(rank - ahead, within[i] - ahead)
+        found = F.when(within[i] >= rank, at).otherwise(found)
+    return found

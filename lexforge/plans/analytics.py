@@ -249,3 +249,48 @@ def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_promql(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = E.windowed_metrics(table(spark, sf_dir, "events"))
     return m.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""with m as (select time_bucket(interval 5 minute, ts) as start, event_type, count(*) n from events group by 1, 2),
+r as (select *, n - lag(n) over (partition by event_type order by start) delta, row_number() over (partition by start order by n desc, event_type) top from m)
+select start, event_type, n as increase, round(n / 300.0::double, 6) rate, delta, top::int as top from r where top <= 3""")
+def agg_promql_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Increase and rate in five minutes, the change to the type's window before, and the three busiest types of each.
+
+    Events are counted first, so that a window function sees one row a type and five minutes.
+    """
+    m = E.windowed_metrics(table(spark, sf_dir, "events"), "5 minutes").select("start", "event_type", "n")
+    delta = F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("start"))
+    top = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("n"), "event_type"))
+    best = m.withColumn("delta", delta).withColumn("top", top).where("top <= 3")
+    return best.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.col("n").alias("increase"), F.round(F.col("n") / 300.0, 6).alias("rate"), "delta", "top")
+
+
+#: Upper ends of the histogram of event values, and the quantiles read from it.
+BUCKETS, QUANTILES = [1.0, 5.0, 10.0, 50.0, 100.0, 250.0], [0.5, 0.95, 0.99]
+
+
+@query(f"""with b(lo, le) as (values {", ".join(f"({lo}::double, {le}::double)" for lo, le in zip([0.0, *BUCKETS], BUCKETS))}),
+h as (select event_type, lo, le, count(*) filter (value <= le) cum, count(*) filter (value <= lo and lo > 0) ahead, count(*) total from events, b where value is not null group by all),
+q as (select unnest({QUANTILES}::double[]) q)
+select event_type, q, round(coalesce(arg_min(lo + (le - lo) * (q * total - ahead) / (cum - ahead), le) filter (cum >= q * total), {BUCKETS[-1]}), 6)::double as value from h, q group by 1, 2""")
+def agg_histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of event values as read from bucket counts: one partially combined row a type."""
+    v = F.col("value")
+    h = table(spark, sf_dir, "events").where(v.isNotNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), *[F.sum((v <= b).cast("bigint")).alias(f"h{i}") for i, b in enumerate(BUCKETS)])
+    within = [F.col(f"h{i}") for i in range(len(BUCKETS))]
+    at = [F.struct(F.lit(q).alias("q"), F.round(scoring.histogram_quantile(within, F.col("total"), BUCKETS, q), 6).alias("value")) for q in QUANTILES]
+    return h.select("event_type", F.explode(F.array(*at)).alias("r")).select("event_type", "r.*")
+
+
+@query("""with w as (select date_trunc('week', o_orderdate)::date::varchar as week, avg((o_orderstatus = 'F')::int) accuracy, sum(round(o_totalprice * 100)::bigint)::double / count(*) / 100 score from orders group by 1),
+p as (select *, lag(accuracy) over (order by week) a, lag(score) over (order by week) s from w)
+select week, round(accuracy - a, 4) accuracy_change, round(score - s, 4) score_change, accuracy < a as accuracy_regression, score < s as score_regression from p where a is not null""")
+def win_week_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks against the week before: the changes of a share and of a mean, and whether either fell."""
+    week = F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("week")
+    mean = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / F.count(F.lit(1)) / 100
+    w = table(spark, sf_dir, "orders").groupBy(week).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("accuracy"), mean.alias("score"))
+    before = Window.partitionBy().orderBy("week")  # one row a week
+    p = w.withColumn("a", F.lag("accuracy").over(before)).withColumn("s", F.lag("score").over(before)).where("a is not null")
+    return p.select("week", F.round(F.col("accuracy") - F.col("a"), 4).alias("accuracy_change"), F.round(F.col("score") - F.col("s"), 4).alias("score_change"), (F.col("accuracy") < F.col("a")).alias("accuracy_regression"), (F.col("score") < F.col("s")).alias("score_regression"))

@@ -165,6 +165,15 @@ def test_scores(spark):
     assert scoring.nearest_rank_by_count(lat, ["k"], "v", 0.95).first().v == 100.0
 
 
+def test_histogram_quantile(spark):
+    from pyspark.sql import functions as F
+
+    rows_ = spark.createDataFrame([("a", 2, 6, 10), ("b", 0, 0, 4), ("c", 0, 0, 0)], "k string, x bigint, y bigint, n bigint")
+    at = lambda q: scoring.histogram_quantile([F.col("x"), F.col("y")], F.col("n"), [1.0, 5.0], q)
+    got = {r.k: (r.low, r.mid, r.high) for r in rows_.select("k", at(0.1).alias("low"), at(0.4).alias("mid"), at(0.9).alias("high")).collect()}
+    assert got["a"] == pytest.approx((0.5, 3.0, 5.0)) and got["b"] == (5.0, 5.0, 5.0) and got["c"] == (None, None, None)
+
+
 def test_chunks_lose_no_words(spark):
     d = spark.createDataFrame([(1, "One two. Three four five! " * 90), (2, None), (3, "")], "doc_id int, text string")
     got = chunking.chunk(d, budget=50).orderBy("chunk_index").collect()
