@@ -36,4 +36,28 @@ m as (select reach.k, min(rep) component from reach join c on c.k = reach.to_ gr
 select s.doc_id, len(s.s)::bigint n_shingles, coalesce(m.component, s.doc_id) component_id, s.doc_id = coalesce(m.component, s.doc_id) as kept
 from s left join c on c.s = s.s left join m using (k)"""
 
-ORACLES: dict[str, str] = {"op3_topk": TOP_K, "op4_decontamination": CONTAMINATION, "op10_near_dedup": NEAR_DUPLICATES}
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t from documents),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) good, coalesce(bool_or(toxic = 1), false) toxic from labels group by doc_id),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x != '') ws, min(doc_id) over (partition by t) lo from d),
+m as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+  [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > lo, false)] f
+  from w left join l using (doc_id)),
+c as (select part, f, good, toxic, count(*) n from m group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+o as (select a.x || b.x || c.x || d.x || e.x filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, filter_order[step] letter, list_transform(string_split(filter_order[:step - 1], ''), lambda y: instr('ABCDE', y)) before, instr('ABCDE', filter_order[step]) this from o, (select unnest([1, 2, 3, 4, 5])::int step)),
+r as (select part, filter_order, step, letter, f[this] fails, step > 1 and len(list_filter(before, lambda y: y > 0 and f[y])) > 0 gone, len(list_filter(f, lambda y: y)) = 1 alone, n, good, toxic from c, s),
+g as (select part, filter_order, step, letter, coalesce(sum(n) filter (not gone and not fails), 0)::bigint kept, coalesce(sum(n) filter (fails and not gone), 0)::bigint removed,
+  coalesce(sum(n) filter (fails and gone), 0)::bigint redundant, coalesce(sum(n) filter (fails and alone), 0)::bigint unique_fails,
+  coalesce(sum(n) filter (fails and not gone and good), 0)::bigint good_lost, coalesce(sum(n) filter (fails and not gone and toxic), 0)::bigint toxic_lost from r group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint shapley from g"""
+
+URL_RULES = r"""
+with r as (select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(h, p, v)),
+u as (select row_number() over () k, page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path from pages),
+f as (select k, arg_max(h || p, len(h || p) * 10000 + len(h)) rule, arg_max(v, len(h || p) * 10000 + len(h)) v from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by k)
+select page_id, host, path, rule, coalesce(v, 'allow') verdict from u left join f using (k)"""
+
+ORACLES: dict[str, str] = {"op3_topk": TOP_K, "op4_decontamination": CONTAMINATION, "op10_near_dedup": NEAR_DUPLICATES, "op12_filter_audit": FILTER_AUDIT, "op13_url_rules": URL_RULES}

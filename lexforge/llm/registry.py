@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import decontamination, near_dedup, packing, pii, quality, secrets, sharding, token_files, toxicity, vector_topk
+from lexforge.llm import alignment, decontamination, filter_audit, near_dedup, packing, pii, quality, secrets, sharding, token_files, toxicity, url_rules, vector_topk
 from lexforge.llm.oracles import ORACLES  # noqa: F401
 from lexforge.session import cut, shared_dir, table
 
@@ -56,4 +56,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_topk, op4_decontamination, op5_quality, op6_toxicity, op7_secrets, op8_sharding, op9_pii, op10_near_dedup)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+#: The rules of op13: host, path and verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    array = url_rules.build(spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), array).drop("url")
+
+
+_ALL = (op1_token_files, op2_packing, op3_topk, op4_decontamination, op5_quality, op6_toxicity, op7_secrets, op8_sharding, op9_pii, op10_near_dedup, op11_alignment, op12_filter_audit, op13_url_rules)
+QUERIES = {f.__name__: f for f in _ALL}
