@@ -5,8 +5,9 @@ from __future__ import annotations
 TOP_K = """
 with v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and embedding is not null),
 r as (select vec_id, list_transform(e, lambda x: floor(256 * x)) x from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.x, c.x)::bigint score from r q join r c on q.vec_id != c.vec_id where q.vec_id % 50 = 0),
-k as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+a as (select distinct vec_id, x from r where vec_id % 50 = 0),
+s as (select q.vec_id query_id, q.x x, c.vec_id vec_id, list_inner_product(q.x, c.x)::bigint score from a q join r c on q.vec_id != c.vec_id),
+k as (select *, row_number() over (partition by query_id, x order by score desc, vec_id) rank from s)
 select query_id, rank::int as rank, vec_id, score from k where rank <= 5"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -13,25 +13,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.labelled import apply_logistic, fold, logistic, sample
 from lexforge.session import cut, importable
 
-#: Bounds of the labelled sample: rows a class for the dictionaries, and rows a class for calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS = 600, 4000
+#: Bounds of the labelled sample: rows a class, and those of each half that make its dictionaries.
+SAMPLE_ROWS, DICTIONARY_ROWS = 4600, 600
 #: Bytes of text a class that reach the driver for its dictionary.
 SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    raw = [t.encode() for t in texts if t]
+    raw = sorted((t.encode() for t in texts if t), key=len)
     try:
         return zstd.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
-    except (zstd.ZstdError, ValueError):  # too few or too short samples: the texts themselves serve
-        return b"\n".join(raw)[:DICTIONARY_BYTES]
+    except (zstd.ZstdError, ValueError):  # too few or too short samples: whole texts serve, short ones first
+        room = np.cumsum([len(t) + 1 for t in raw])
+        return b"\n".join(raw[: max(1, int(np.searchsorted(room, DICTIONARY_BYTES)))])
 
 
 class Sizes:
@@ -71,56 +72,46 @@ def _within_bytes(rows: DataFrame) -> list:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep) -> dict:
-    """Dictionaries and calibration from labelled rows where ``keep`` holds. Without both classes
-    the model knows only the rate of good rows."""
-    importable(docs.sparkSession)
-    rows = cut(sample(docs, labels, "quality", keep, DICTIONARY_ROWS))
-    taken = _within_bytes(rows)
-    texts = {y: [r["text"] for r in taken if r["y"] == y] for y in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return {"rate": 1.0 if texts[1] else 0.5 if not texts[0] else 0.0}
-    model = {"good": _dictionary(texts[1]), "bad": _dictionary(texts[0])}
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(model["good"], model["bad"])
-        for b in batches:
-            x = [sizes.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
-
-    fresh = sample(docs, labels, "quality", keep, DICTIONARY_ROWS + CALIBRATION_ROWS)
-    used = {r["doc_id"] for r in taken}
-    got = [r for r in fresh.select("doc_id", "text", "y").mapInArrow(_with_id(measure), "doc_id bigint, y int, x array<double>").collect()]
-    # Rows that made the dictionaries compress too well; they calibrate only where nothing else is there.
-    new = [r for r in got if r["doc_id"] not in used]
-    got = new if len({r["y"] for r in new}) == 2 and min(sum(r["y"] == y for r in new) for y in (0, 1)) >= 50 else got
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
-    return model | {"w": logistic(x, y)}
-
-
-def _with_id(f):
-    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in f(iter([b])):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.columns], ["doc_id", *out.schema.names])
-
-    return g
+    """Two fits from labelled rows where ``keep`` holds: the sample of each class is dealt into two halves, the
+    dictionaries of one half measure the other, which calibrates them, so no row calibrates what it made. With
+    fewer than two rows of a class the model knows only the rate of good rows."""
+    spark = docs.sparkSession
+    importable(spark)
+    by_class = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # at most SAMPLE_ROWS rows each
+    rows = cut(sample(docs, labels, "quality", keep, SAMPLE_ROWS).withColumn("place", F.row_number().over(by_class)).withColumn("half", F.col("place") % 2))
+    n = {y: rows.where(F.col("y") == y).count() for y in (0, 1)}
+    if min(n.values()) < 2:
+        return {"rate": 1.0 if n[1] > n[0] else 0.0 if n[0] > n[1] else 0.5}
+    fits = []
+    for half in (0, 1):
+        taken = _within_bytes(rows.where((F.col("half") == half) & (F.col("place") <= 2 * DICTIONARY_ROWS)))
+        made = {"good": _dictionary([r["text"] for r in taken if r["y"] == 1]), "bad": _dictionary([r["text"] for r in taken if r["y"] == 0])}
+
+        def measure(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            sizes = Sizes(made["good"], made["bad"])
+            for b in batches:
+                x = [sizes.features(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+
+        got = rows.where(F.col("half") != half).select("y", "text").mapInArrow(measure, "y int, x array<double>").orderBy("y", "x").collect()
+        fits.append(made | {"w": logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))})
+    return {"fits": fits}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Adds score, the probability of good quality, to any table with a text column (null: empty)."""
     spark = docs.sparkSession
     importable(spark)
-    shared = spark.sparkContext.broadcast(model)  # two dictionaries and a few weights
+    shared = spark.sparkContext.broadcast(model)  # four dictionaries and a few weights
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        sizes = Sizes(m["good"], m["bad"]) if "w" in m else None
+        fits = [(Sizes(f["good"], f["bad"]), f["w"]) for f in m.get("fits", [])]
         for texts in batches:
-            if sizes is None:
-                yield pd.Series(np.full(len(texts), m["rate"]))
-            else:
-                x = np.array([sizes.features(t) for t in texts]).reshape(len(texts), -1)
-                yield pd.Series(apply_logistic(m["w"], x) if len(x) else np.zeros(0))
+            if not fits or not len(texts):
+                yield pd.Series(np.full(len(texts), m.get("rate", 0.0)))
+            else:  # the mean of both
+                yield pd.Series(sum(apply_logistic(w, np.array([sizes.features(t) for t in texts])) for sizes, w in fits) / len(fits))
 
     return docs.withColumn("score", F.pandas_udf(run, "double")("text"))
 

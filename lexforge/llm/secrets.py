@@ -81,13 +81,13 @@ def entropy_runs(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
                 end += 1
             counts, total = Counter(), 0.0
             for i in range(at, end):
-                c = counts[s[i]]
-                total += part[c + 1] - part[c]
-                counts[s[i]] = c + 1
-                if i - at >= window:
+                if i - at >= window:  # one leaves before one enters, so a count never passes the window
                     c = counts[s[i - window]]
                     total += part[c - 1] - part[c]
                     counts[s[i - window]] = c - 1
+                c = counts[s[i]]
+                total += part[c + 1] - part[c]
+                counts[s[i]] = c + 1
                 if i - at >= window - 1 and math.log2(window) - total / window >= least - 1e-9:  # sums drift in their last digits
                     if runs and runs[-1][0] <= i - window + 1 <= runs[-1][1]:
                         runs[-1] = (runs[-1][0], max(runs[-1][1], i + 1))  # another class may reach further

@@ -5,9 +5,9 @@ crowded cells are split by hash. Every component of a block is a list sorted by
 positive query components and from the bottom for negative ones, a stretch at a time.
 
 - A query first reads its own block; its k-th score there is the bar for all other blocks.
-- In each block the read parts give every candidate a lower and an upper score bound. The bar rises with the k-th
-  lower bound; candidates under it are out and are read no more. A query whose bound for everything unread is
-  under its bar stops there, most of them before they read anything.
+- In each block the entries read give every candidate a lower and an upper score bound. The bar rises with the k-th
+  lower bound; candidates under it are out, those not seen in any list with them. A query whose bound for everything
+  unread is under its bar leaves a block at once.
 - Few are left when a query stops; their scores are then resolved exactly in integers.
 """
 
@@ -28,45 +28,48 @@ CANDIDATES_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 2048
 TOGETHER = 256
 #: Pivots at most; each is a row of the sample sent to the driver.
 PIVOTS = 256
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FOUND = "query_id bigint, version bigint, vec_id bigint, score bigint"
 
 
 def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (query index, row index) that hold every top-k row of a query that can pass its ``bar``, and the
     number of list entries read for them.
 
-    ``own`` marks pairs that take no part. Bounds are doubles with slack; they only exclude.
+    Every list is the order of one component, read a stretch at a time, each twice as long as all before. Only entries
+    newly read change the sum of a row's seen parts; its unseen parts lie between the last entry read of their list and
+    the end of it. ``own`` marks pairs that take no part. Bounds are doubles with slack; they only exclude.
     """
     q, x, bar = queries.astype(float), rows.astype(float), bar.astype(float)
-    b = len(x)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(x, axis=0)
+    b, width = x.shape
+    order = np.argsort(x, axis=0, kind="stable")
+    low, high = x[order[0], np.arange(width)], x[order[-1], np.arange(width)]
     slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0))
-    alive, read, depth = ~own, 0, 0
-    used = np.count_nonzero(q, axis=1)
     # Nothing read yet: the best that any row could score.
-    open_ = up @ lists[-1] + down @ lists[0] >= bar - slack
-    alive[~open_] = False
-    todo = np.flatnonzero(open_)
-    while len(todo):
-        step = min(b, max(2 * depth, b // 16, 1)) - depth
-        depth += step
-        read += step * int(used[todo].sum())
-        high, low = lists[b - depth], lists[depth - 1]
-        left = np.flatnonzero(alive[todo].any(axis=0))
-        part = x[left]
-        top, bottom, u, d = part >= high, part <= low, up[todo], down[todo]
-        upper = u @ np.where(top, part, high).T + d @ np.where(bottom, part, low).T
-        lower = u @ np.where(top, part, lists[0]).T + d @ np.where(bottom, part, lists[-1]).T
-        live = alive[np.ix_(todo, left)]
-        lower[~live] = -np.inf
-        if len(left) >= k:
-            bar[todo] = np.maximum(bar[todo], np.partition(lower, len(left) - k, axis=1)[:, len(left) - k])
-        live &= upper >= (bar[todo] - slack[todo])[:, None]
-        alive[np.ix_(todo, left)] = live
-        todo = todo[(live.sum(axis=1) > 2 * k) & (depth < b)]
-    qi, xi = np.nonzero(alive)
-    return qi, xi, read
+    best = np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
+    pairs, read = [], 0
+    for i in range(len(q)):
+        live = np.flatnonzero(~own[i])
+        if best[i] < bar[i] - slack[i]:
+            continue
+        used = np.flatnonzero(q[i])
+        lists = np.where(q[i, used] > 0, order[::-1, used], order[:, used])  # best entries first
+        last, worst = q[i, used] * x[lists[0], used], q[i, used] * x[lists[-1], used]
+        total, seen, depth = np.zeros(b), np.zeros((b, len(used))), 0
+        while len(live) > 2 * k and depth < b and len(used):
+            at = lists[depth : depth + max(depth, b // 16, 1)]
+            part = q[i, used] * x[at, used]
+            total += np.bincount(at.ravel(), part.ravel(), b)
+            seen[at, np.arange(len(used))] = 1
+            depth, read, last = depth + len(at), read + at.size, part[-1]
+            sums, have = total[live], seen[live]
+            lower = sums + worst.sum() - have @ worst
+            if len(live) >= k:
+                bar[i] = max(bar[i], np.partition(lower, len(live) - k)[len(live) - k])
+            # A row of which nothing was seen has the sum of the last entries for its upper bound.
+            live = live[sums + last.sum() - have @ last >= bar[i] - slack[i]]
+        pairs.append((np.full(len(live), i), live))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(p for p, _ in pairs)]), np.concatenate([none, *(p for _, p in pairs)]), read
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -98,8 +101,8 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of ``c(vec_id, vector)`` for each of ``q(vec_id, vector, bar)``, null bars for none."""
-    found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+    """The k best rows of ``c(vec_id, vector)`` for each of ``q(vec_id, version, vector, bar)``, null bars for none."""
+    found = [pd.DataFrame({"query_id": [], "version": [], "vec_id": [], "score": []}, dtype="int64")]
     if len(q) and len(c):
         width = max(*map(len, q.vector), *map(len, c.vector), 0)
         rows, ids = _matrix(c.vector, width), c.vec_id.to_numpy()
@@ -109,7 +112,7 @@ def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
             bar = some.bar.to_numpy(dtype=float, na_value=-np.inf)
             qi, xi, _ = nra(asked, rows, names[:, None] == ids[None, :], k, np.where(np.isnan(bar), -np.inf, bar))
             qi, xi, score = _best(asked, rows, qi, xi, ids, k)
-            found.append(pd.DataFrame({"query_id": names[qi], "vec_id": ids[xi], "score": score}))
+            found.append(pd.DataFrame({"query_id": names[qi], "version": some.version.to_numpy()[qi], "vec_id": ids[xi], "score": score}))
     return pd.concat(found)
 
 
@@ -131,14 +134,15 @@ def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates by integer inner product.
 
-    Both inputs have vec_id and vector (array<bigint>); a row takes no part for its own vec_id. Null vectors and
+    Both inputs have vec_id and vector (array<bigint>); a row takes no part for its own vec_id. Repeated query rows are
+    one query; a query vec_id with several vectors gives a list for each of them. Null vectors and
     null vec_ids are dropped; shorter vectors count as padded with zeros; ties go to the smaller vec_id; repeated
     candidates stand for themselves each; scores beyond a bigint stay at its ends; fewer than k candidates give
     fewer rows; empty inputs give none; other columns are ignored.
     """
     importable(candidates.sparkSession)
     clean = lambda d: d.select("vec_id", "vector").where("vec_id is not null and vector is not null and forall(vector, x -> x is not null)")
-    queries, candidates = clean(queries), clean(candidates)
+    queries, candidates = clean(queries).distinct(), clean(candidates)
     total = candidates.count()
     wanted = min(PIVOTS, total // CANDIDATES_PER_BLOCK)
     sample = [r["vector"] for r in candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()] if wanted > 1 else []
@@ -150,21 +154,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     first, blocks = np.cumsum([0, *parts[:-1]]).tolist(), sum(parts)
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
     block = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
-    rows, asked = rows.withColumn("block", block).drop("cell"), asked.withColumn("home", block).drop("cell")
+    rows, asked = rows.withColumn("block", block).drop("cell"), asked.withColumn("home", block).drop("cell").withColumn("version", F.xxhash64("vector"))
 
-    near = asked.select("vec_id", "vector", F.lit(None).cast("bigint").alias("bar"), F.col("home").alias("block"))
+    near = asked.select("vec_id", "version", "vector", F.lit(None).cast("bigint").alias("bar"), F.col("home").alias("block"))
     own = cut(near.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(lambda q, c: _search(q, c, k), FOUND))
     found = own
     if blocks > 1:
-        bars = own.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
-        held = asked.distinct().join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        bars = own.groupBy("query_id", "version").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
+        held = asked.join(bars.withColumnRenamed("query_id", "vec_id"), ["vec_id", "version"], "left")
         groups = max(1, math.ceil(asked.count() / QUERIES_PER_BLOCK))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         far = held.select("*", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("qb"), every(blocks).alias("block")).where("block != home")
         right = rows.select("vec_id", "vector", every(groups).alias("qb"), "block")
         others = far.groupBy("qb", "block").cogroup(right.groupBy("qb", "block")).applyInPandas(lambda q, c: _search(q, c, k), FOUND)
         found = own.unionByName(others)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -142,6 +142,22 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
         assert got[i] == [(j, -s) for s, j in sorted((-clip(int(v[i] @ x)), j) for j, x in v.items() if j != i)[:5]], i
 
 
+def test_top_k_of_repeated_queries(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, [int(v) for v in rng.integers(-99, 99, 8)]) for i in range(400)]
+    c = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    q = spark.createDataFrame([rows[50]] * 3 + [(50, [7] * 8), rows[100]], "vec_id bigint, vector array<bigint>").repartition(3)
+    answers = []
+    for per_block in (1000, 40):
+        monkeypatch.setattr(vector_topk, "CANDIDATES_PER_BLOCK", per_block)
+        answers.append(sorted(map(tuple, vector_topk.top_k(q, c, 5).collect())))
+    want = []
+    for i, v in ((50, rows[50][1]), (50, [7] * 8), (100, rows[100][1])):
+        best = sorted((-int(np.dot(v, x)), j) for j, x in rows if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert answers[0] == answers[1] == sorted(want)
+
+
 def test_lists_are_read_until_outsiders_cannot_qualify():
     rng = np.random.default_rng(9)
     rows = rng.integers(-9, 9, (512, 6))
@@ -276,14 +292,28 @@ def test_quality_scores_against_plain_sizes(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
     model = quality.train(d, labels, labelled.F.lit(True))
     got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
-    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(model[k]), write_content_size=False, write_dict_id=False) for k in ("good", "bad")]
+    assert len(model["fits"]) == 2
+    make = lambda raw: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+    fits = [(make(f["good"]), make(f["bad"]), f["w"]) for f in model["fits"]]
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
     for i, text in [*[(r[0], r[1]) for r in rows[:40]], (900, "")]:
         raw = text.encode()
-        good, bad = (len(c.compress(raw)) for c in coders)
-        diff, ratio = (bad - good) / (good + bad), len(plain.compress(raw)) / (len(raw) + 20)
-        x = np.array([10 * diff, 100 * diff * abs(diff), ratio, ratio**2, 10 * diff * ratio, np.log1p(len(raw)) / 10, 1.0])
-        assert got[i] == pytest.approx(1 / (1 + np.exp(-x @ model["w"])), abs=1e-6)
+        want = 0.0
+        for one, two, w in fits:
+            good, bad = len(one.compress(raw)), len(two.compress(raw))
+            diff, ratio = (bad - good) / (good + bad), len(plain.compress(raw)) / (len(raw) + 20)
+            x = np.array([10 * diff, 100 * diff * abs(diff), ratio, ratio**2, 10 * diff * ratio, np.log1p(len(raw)) / 10, 1.0])
+            want += 1 / (1 + np.exp(-x @ w)) / 2
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_of_few_labels(spark):
+    d = spark.createDataFrame([(i, f"text number {i} " * (i + 1)) for i in range(6)], "doc_id bigint, text string")
+    for rows, want in (([(0, 1), (1, 1)], 1.0), ([(0, 0)], 0.0), ([], 0.5), ([(0, 1), (1, 0)], 0.5)):
+        model = quality.train(d, spark.createDataFrame(rows, "doc_id bigint, quality int"), labelled.F.lit(True))
+        assert model == {"rate": want}
+    model = quality.train(d, spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int"), labelled.F.lit(True))
+    assert len(model["fits"]) == 2 and all(0 <= r.score <= 1 for r in quality.score(d, model).collect())
 
 
 def test_segments_take_linear_time():
@@ -334,8 +364,12 @@ def test_secrets_beside_others():
 def test_entropy_runs_against_plain_windows():
     random.seed(13)
     signs = "0123456789abcdefABCDEFghXYZ+/=_-."
-    for _ in range(300):
+    same = ["Step1" + "-" * 24, "see v2" + "=" * 30, "table_1" + "_" * 23, "A1" + "x" * 26, "aB3xQ9" * 5 + "A" * 21 + "==", "/path/aaa1" + "/" * 25, "a" * 21, "7" * 100]
+    for k in range(400):
         s = "".join(random.choice(signs[: random.choice([3, 12, 33])]) for _ in range(random.randint(1, 70)))
+        if k < 100:  # runs of one sign, longer than a window
+            s = same[k] if k < len(same) else "".join(random.choice(signs) * random.choice([1, 1, 20, 21, 22, 45]) for _ in range(random.randint(1, 8)))
+            secrets.find(f"see {s} end")
         covered = set()
         for _, chars, least in secrets.CLASSES:
             for i in range(len(s) - 19):
