@@ -11,6 +11,8 @@ from lexforge.functions.text import lower_tokens
 from lexforge.session import cut
 
 K1, B = 1.5, 0.75
+#: Distinct words of queries that are broadcast, some 64 MB; more are joined by shuffling.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,8 @@ def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     sized = tokens.select("id", "tokens", F.size("tokens").alias("dl"))
     corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     postings = sized.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Documents are counted by their distinct words, without the postings.
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     terms = df.join(F.broadcast(corpus), how="cross").select("term", "df", idf.alias("idf"))  # corpus is one row
     return Index(postings.select("id", "term", "tf", "dl"), terms, corpus)
@@ -48,14 +51,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     corpus. ``allowed`` (a table of ids) restricts what is ranked, not the statistics.
     """
     q = query_terms(queries, query_id, text_col)
-    wanted = q.select("term").distinct().withColumn("known", F.lit(True))
+    wanted = cut(q.select("term").distinct())
+    few = wanted.count() <= BROADCAST_TERMS
     sized = docs.select(F.col(doc_id).alias("id"), lower_tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    # One row a document without a term beside its words, so that texts are tokenised once for statistics and postings.
-    words = sized.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    kept = words.join(wanted, "term", "left").where("known or term is null")
-    kept = cut(kept.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    corpus = kept.where("term is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    postings = kept.where("term is not null")
+    if few:
+        # One row a document without a term beside its words, so that texts are tokenised once; none is shuffled by a null.
+        words = sized.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+        known = words.join(F.broadcast(wanted.withColumn("known", F.lit(True))), "term", "left").where("known or term is null")
+        kept = cut(known.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+        counted, postings = kept.where("term is null").select("dl", F.col("tf").alias("docs")), kept.where("term is not null")
+    else:
+        counted = sized.select("dl", F.lit(1).alias("docs"))
+        words = sized.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        postings = cut(words.join(wanted, "term", "left_semi"))
+    corpus = counted.agg(F.sum("docs").alias("n"), (F.sum(F.col("dl") * F.col("docs")) / F.sum("docs")).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if allowed is not None:
         postings = postings.join(allowed, "id", "left_semi")
