@@ -75,6 +75,44 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
     return top_k(scores.where("score > 0"), k)
 
 
+def field_scores(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """query_id, id and a BM25 score a field (0 where nothing matches) of every document that matches in some field.
+
+    ``docs(id, <field> array<array<string>>, ...)`` has the words of a field by place, with all words that stand for them, and
+    ``queries(query_id, words)`` what is asked. Lengths count places. Fields are scored side by side in one aggregate and
+    nothing is cut.
+    """
+    asked = queries.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    side = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.array().cast("array<array<string>>")).alias("places")) for f in fields]
+    rows = docs.select("id", F.explode(F.array(*side)).alias("f")).select("id", "f.field", F.size("f.places").alias("dl"), F.flatten("f.places").alias("words"))
+    corpus = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # a row a field
+    words = rows.select("id", "field", "dl", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = cut(words.groupBy("field", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    weights = asked.join(df, "term").join(F.broadcast(corpus), "field")
+    weights = weights.select("query_id", "field", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
+    return tf.join(weights, ["field", "term"]).groupBy("query_id", "id").agg(*[F.sum(F.when(F.col("field") == f, part).otherwise(0.0)).alias(f) for f in fields])
+
+
+def all_words(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id of ``docs(id, words)`` that hold every word of ``queries(query_id, words)``, the k smallest ids each.
+
+    Candidates of a query are the documents with its rarest word; only those are compared with all its words. A query
+    without words, or with one that no document has, finds nothing.
+    """
+    asked = cut(queries.select("query_id", F.array_distinct("words").alias("asked")).where("size(asked) > 0"))
+    terms = asked.select("query_id", F.explode("asked").alias("term"))
+    held = docs.select("id", F.explode(F.array_distinct("words")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    held = cut(held)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = terms.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0").select("query_id", "r.term")
+    near = held.join(rare, "term").select("query_id", "id").join(asked, "query_id")
+    sure = near.join(docs.select("id", "words"), "id").where(F.size(F.array_except("asked", "words")) == 0)
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    return sure.select("query_id", "id").distinct().withColumn("r", r).where(F.col("r") <= k).drop("r")
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id", id_col: str = "id") -> DataFrame:
     """The k best rows of each query, ties to the smaller id. Scores are compared at 9 decimals."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), id_col)

@@ -47,9 +47,12 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return dot(q, c) if metric == "dotproduct" else dot(q, c) / (np.sqrt(dot(q, q)) * np.sqrt(dot(c, c)))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", limit: int = 10_000) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", limit: int = 10_000, within: str | None = None) -> DataFrame:
     """query_id, id, score, rank of the k nearest vectors; a vector does not match itself.
 
+    ``within`` names a column of both: only vectors of the query's own value there (its namespace) are searched, all
+    namespaces in one plan; rows without one take no part.
+
     Any number of ``queries(query_id, q)`` and ``vectors(id, v)``: queries are dealt by hash into blocks of
     about ``limit`` rows and vectors into blocks of ``VECTORS_PER_BLOCK``, every pair of blocks is one group,
     and the k best of each group are merged. Pairs of unequal length, with a null or without a cosine have
@@ -58,13 +61,14 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     importable(vectors.sparkSession)
-    whole = lambda d, i, v: d.where(F.col(i).isNotNull() & F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull())).select(i, F.col(v).cast("array<double>").alias(v))
+    space = F.col(within) if within else F.lit(0)
+    whole = lambda d, i, v: d.where(F.col(i).isNotNull() & F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull()) & space.isNotNull()).select(i, F.col(v).cast("array<double>").alias(v), space.alias("space"))
     queries, vectors = whole(queries, "query_id", "q"), whole(vectors, "id", "v")
     nq, nc = max(1, math.ceil(queries.count() / limit)), max(1, math.ceil(vectors.count() / VECTORS_PER_BLOCK))
     block = lambda i, v, n: F.pmod(F.xxhash64(i, v), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "q", block("query_id", "q", nq).alias("qb"), every(nc).alias("cb"))
-    right = vectors.select("id", "v", every(nq).alias("qb"), block("id", "v", nc).alias("cb"))
+    left = queries.select("query_id", "q", "space", block("query_id", "q", nq).alias("qb"), every(nc).alias("cb"))
+    right = vectors.select("id", "v", "space", every(nq).alias("qb"), block("id", "v", nc).alias("cb"))
     names = ["query_id", "id", "score", "by"]
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +97,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
         return pd.concat(found[1:] or found)
 
     kind = dict(left.dtypes) | dict(right.dtypes)
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, f"query_id {kind['query_id']}, id {kind['id']}, score double, by double")
+    found = left.groupBy("space", "qb", "cb").cogroup(right.groupBy("space", "qb", "cb")).applyInPandas(search, f"query_id {kind['query_id']}, id {kind['id']}, score double, by double")
     best = Window.partitionBy("query_id").orderBy(F.desc("by"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("by")
 

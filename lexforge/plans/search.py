@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import legal as L
@@ -11,7 +11,7 @@ from lexforge.operators import ann, answers, bm25, graph, ranking, scoring
 from lexforge.plans.analytics import EDGES, _edges
 from lexforge.plans.answers import PLAIN_SQL, TALK_SQL, _STOP, _talk
 from lexforge.plans.retrieval import _CLASS_SQL, _KW_SQL, _SEM_SQL, BM25_SQL, tokens_sql
-from lexforge.session import cut, table
+from lexforge.session import cut, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,33 +53,40 @@ def bm25_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("query_id", "rank", F.coalesce(F.concat(F.lit("doc_"), "id"), F.concat(F.lit("bm25_"), "rank")).alias("chunk_id"), "lang", F.round("score", 6).alias("score"))
 
 
-def _es_terms(text) -> object:
-    """Words of the index: lower-cased, without stop words, those of a synonym group as its first word."""
+def _es_words(text: Column) -> Column:
+    """Words of the index in order: lower-cased, without stop words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    one = {w: g[0] for g in reversed(L.SYNONYMS) for w in g}
-    same = F.create_map(*[F.lit(x) for item in one.items() for x in item])
-    return F.transform(F.filter(words, lambda w: ~w.isin(*L.STOP_WORDS)), lambda w: F.coalesce(F.try_element_at(same, w), w))
+    return F.filter(words, lambda w: ~w.isin(*L.STOP_WORDS))
 
 
-_SAME = "case w " + " ".join(f"when '{w}' then '{v}'" for w, v in {w: g[0] for g in reversed(L.SYNONYMS) for w in g}.items()) + " else w end"
-ES_TERMS = r"list_transform(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: not list_contains([" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + f"], w)), lambda w: {_SAME})"
+#: Every word of a synonym group stands for itself and for all members of all groups it is in.
+SAME = {w: sorted({x for g in L.SYNONYMS if w in g for x in g}) for g in L.SYNONYMS for w in g}
+
+
+def _es_places(text: Column) -> Column:
+    same = F.create_map(*[c for w, group in SAME.items() for c in (F.lit(w), F.array(*map(F.lit, group)))])
+    return F.transform(_es_words(text), lambda w: F.coalesce(F.try_element_at(same, w), F.array(w)))
+
+
+ES_WORDS = r"list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: not list_contains([" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "], w))"
+_SAME = "case w " + " ".join(f"when '{w}' then {group}" for w, group in SAME.items()) + " else [w] end"
+ES_PLACES = "list_transform(" + ES_WORDS + f", lambda w: {_SAME})"
 
 
 def _field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, id, title, body: BM25 of the first line (its title) and of the whole text, with the index's words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(_es_terms(F.col("text")), " ").alias("body"), F.array_join(_es_terms(F.get(F.split("text", "\n"), F.lit(0))), " ").alias("title"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(_es_terms(F.col("text")), " ").alias("q"))
-    sides = [bm25.search(docs.select("doc_id", F.col(c).alias("text")), asked.select("item_id", F.col("q").alias("text")), 100_000).select("query_id", "id", F.col("score").alias(c)) for c in ("title", "body")]
-    return sides[0].join(sides[1], ["query_id", "id"], "full_outer").na.fill(0.0, ["title", "body"])
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), _es_places(F.get(F.split("text", "\n"), F.lit(0))).alias("title"), _es_places(F.col("text")).alias("body"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _es_words(F.col("text")).alias("words"))
+    return bm25.field_scores(docs, asked, ["title", "body"])
 
 
 def _field_sql(field: str, name: str) -> str:
-    return f"""d{name} as (select doc_id id, {ES_TERMS.format(field)} ws from documents), c{name} as (select count(*) n, avg(len(ws)) avgdl from d{name}),
-t{name} as (select term, id, dl, count(*) tf from (select id, len(ws) dl, unnest(ws) term from d{name}) group by all), f{name} as (select term, count(*) df from t{name} group by 1),
+    return f"""d{name} as (select doc_id id, {ES_PLACES.format(field)} ws from documents), c{name} as (select count(*) n, avg(len(ws)) avgdl from d{name}),
+t{name} as (select term, id, dl, count(*) tf from (select id, len(ws) dl, unnest(flatten(ws)) term from d{name}) group by all), f{name} as (select term, count(*) df from t{name} group by 1),
 s{name} as (select query_id, id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1.0)))) score from q join f{name} using (term) join t{name} using (term), c{name} group by all)"""
 
 
-FIELDS_SQL = f"""q as (select query_id, term, count(*) qtf from (select item_id query_id, unnest({ES_TERMS.format('text')}) term from benchmark) group by all), {_field_sql("string_split(text, chr(10))[1]", "t")}, {_field_sql("text", "b")},
+FIELDS_SQL = f"""q as (select query_id, term, count(*) qtf from (select item_id query_id, unnest({ES_WORDS.format('text')}) term from benchmark) group by all), {_field_sql("string_split(text, chr(10))[1]", "t")}, {_field_sql("text", "b")},
 fields as (select coalesce(st.query_id, sb.query_id) query_id, coalesce(st.id, sb.id) id, coalesce(st.score, 0) title, coalesce(sb.score, 0) body from st full join sb on st.query_id = sb.query_id and st.id = sb.id)"""
 
 
@@ -95,20 +102,13 @@ def es_boost_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(_field_scores(spark, sf_dir).select("query_id", "id", (F.greatest(3 * F.col("title"), 2 * F.col("body")) / 100.0).alias("score")), 10)
 
 
-@query(f"""with q as (select item_id query_id, list_slice(list_sort(list_distinct(list_filter({ES_TERMS.format('text')}, lambda w: length(w) > 3))), 1, 2) ws from benchmark), d as (select doc_id id, {ES_TERMS.format('text')} ws from documents),
-m as (select query_id, id, 0.7::double score from q, d where len(q.ws) > 0 and list_has_all(d.ws, q.ws)) select query_id, id, score from (select *, row_number() over (partition by query_id order by id) r from m) where r <= 10""")
+@query(f"""with q as (select item_id query_id, list_distinct({ES_WORDS.format('text')}) ws from benchmark), d as (select doc_id id, {ES_WORDS.format('text')} ws from documents),
+m as (select distinct query_id, id, 0.7::double score from q, d where len(q.ws) > 0 and list_has_all(d.ws, q.ws)) select query_id, id, score from (select *, row_number() over (partition by query_id order by id) r from m) where r <= 10""")
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold every word of a query (here two long ones of each), ten at most, of equal score.
-
-    Words are joined and counted, so no pair without a common word is made.
-    """
-    long = F.filter(_es_terms(F.col("text")), lambda w: F.length(w) > 3)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.sort_array(F.array_distinct(long)), 1, 2).alias("ws")).where("size(ws) > 0")
-    wanted = asked.select("query_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(_es_terms(F.col("text")))).alias("term"))
-    every = words.join(wanted, "term").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
-    return every.withColumn("r", r).where("r <= 10").select("query_id", "id", F.lit(0.7).alias("score"))
+    """Documents that hold every word of a query, ten at most, of equal score."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _es_words(F.col("text")).alias("words"))
+    docs = cut(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), _es_words(F.col("text")).alias("words")))
+    return bm25.all_words(docs, asked, 10).withColumn("score", F.lit(0.7))
 
 
 @query("""with q as (select vec_id query_id, label, embedding::double[] q from embeddings where vec_id % 100 = 0),
@@ -116,12 +116,9 @@ s as (select query_id, vec_id id, list_cosine_similarity(q, embedding::double[])
 select query_id, id, rank::int as rank, round(score, 6) score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) rank from s) where rank <= 5""")
 def vec_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors within the query's own namespace (label)."""
-    rows = cut(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"))
-    found = None
-    for label in sorted(r["label"] for r in rows.select("label").where("label is not null").distinct().collect()):  # namespaces, a few
-        mine = rows.where(F.col("label") == label)
-        part = ranking.vector_top_k(mine.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), mine, 5)
-        found = part if found is None else found.unionByName(part)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
+    found = ranking.vector_top_k(asked, rows, 5, within="label")
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
