@@ -35,15 +35,19 @@ def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, bar: np.
     """Pairs (query index, row index) that hold every top-k row of a query that can pass its ``bar``, and the
     number of list entries read for them.
 
-    Every list is the order of one component, read a stretch at a time, each twice as long as all before. Only entries
-    newly read change the sum of a row's seen parts; its unseen parts lie between the last entry read of their list and
-    the end of it. ``own`` marks pairs that take no part. Bounds are doubles with slack; they only exclude.
+    Every list is the order of one component, read a stretch at a time. Only entries newly read change the sum of a
+    row's seen parts; its unseen parts lie between the last entry read of their list and the end of it. Reading stops when
+    no row unseen everywhere can qualify and resolving those left costs less than reading on. ``own`` marks pairs that
+    take no part. Bounds have slack for their last digits; they only exclude.
     """
-    q, x, bar = queries.astype(float), rows.astype(float), bar.astype(float)
-    b, width = x.shape
-    order = np.argsort(x, axis=0, kind="stable")
-    low, high = x[order[0], np.arange(width)], x[order[-1], np.arange(width)]
-    slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0))
+    q, bar, x = queries.astype(float), bar.astype(float), np.ascontiguousarray(rows.T.astype(float))
+    width, b = x.shape
+    order = np.argsort(x, axis=1, kind="stable")
+    ranked = np.take_along_axis(x, order, axis=1)
+    # Best entries first: ascending lists for negative query components, descending ones for positive.
+    lists, values = (np.stack([v, v[:, ::-1]]) for v in (order, ranked))
+    low, high = ranked[:, 0], ranked[:, -1]
+    slack = 1e-5 * (1 + np.abs(q) @ np.maximum(np.abs(low), np.abs(high)))
     # Nothing read yet: the best that any row could score.
     best = np.maximum(q, 0) @ high + np.minimum(q, 0) @ low
     pairs, read = [], 0
@@ -52,21 +56,21 @@ def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, bar: np.
         if best[i] < bar[i] - slack[i]:
             continue
         used = np.flatnonzero(q[i])
-        lists = np.where(q[i, used] > 0, order[::-1, used], order[:, used])  # best entries first
-        last, worst = q[i, used] * x[lists[0], used], q[i, used] * x[lists[-1], used]
-        total, seen, depth = np.zeros(b), np.zeros((b, len(used))), 0
-        while len(live) > 2 * k and depth < b and len(used):
-            at = lists[depth : depth + max(depth, b // 16, 1)]
-            part = q[i, used] * x[at, used]
+        side, w, base = (q[i, used] > 0).astype(int), q[i, used], b * np.arange(len(used))[:, None]
+        worst = w * values[side, used, -1]
+        total, seen, depth, outside = np.zeros(b), np.zeros(len(used) * b, np.float32), 0, True
+        while len(used) and depth < b and len(live) > 2 * k and (outside or len(live) > b - depth):
+            to = min(b, depth + max(1, b // 8 if depth else b // 16))
+            at, part = lists[side, used, depth:to], values[side, used, depth:to] * w[:, None]
             total += np.bincount(at.ravel(), part.ravel(), b)
-            seen[at, np.arange(len(used))] = 1
-            depth, read, last = depth + len(at), read + at.size, part[-1]
-            sums, have = total[live], seen[live]
-            lower = sums + worst.sum() - have @ worst
+            seen[(at + base).ravel()] = 1
+            depth, read, last = to, read + at.size, part[:, -1]
+            marks = seen.reshape(len(used), b)
+            lower, upper = (total + (end.sum() - end.astype(np.float32) @ marks) for end in (worst, last))
             if len(live) >= k:
-                bar[i] = max(bar[i], np.partition(lower, len(live) - k)[len(live) - k])
-            # A row of which nothing was seen has the sum of the last entries for its upper bound.
-            live = live[sums + last.sum() - have @ last >= bar[i] - slack[i]]
+                bar[i] = max(bar[i], np.partition(lower[live], len(live) - k)[len(live) - k] - slack[i])
+            live = live[upper[live] >= bar[i] - slack[i]]
+            outside = last.sum() >= bar[i] - slack[i]
         pairs.append((np.full(len(live), i), live))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *(p for p, _ in pairs)]), np.concatenate([none, *(p for _, p in pairs)]), read
@@ -74,6 +78,8 @@ def nra(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, bar: np.
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, exact; beyond the ends of a bigint they stay at its ends."""
+    if q.dtype == float:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
     most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
     if most < 1 << 62:
         return np.einsum("ij,ij->i", q, x)
@@ -83,6 +89,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _best(queries: np.ndarray, rows: np.ndarray, qi: np.ndarray, xi: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     score = np.zeros(len(qi), np.int64)
+    if int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(queries.shape[1], 1) < 1 << 53:
+        queries, rows = queries.astype(float), rows.astype(float)  # whole numbers that doubles hold exactly
     for at in range(0, len(qi), 1 << 14):
         s = slice(at, at + (1 << 14))
         score[s] = _scores(queries[qi[s]], rows[xi[s]])
