@@ -1,9 +1,10 @@
 """A stored inverted index: built once, added to, searched often without reading a text again.
 
-Documents are dealt by hash into ranges of some ``RANGE_DOCS``; a block holds the postings of one term in one range, with
-the greatest count and the least length in it, which bound what any of its documents can score. A search reads block heads of
-its terms, scores the most promising ranges of each query, and leaves out every range whose bound is under the k-th
-score found there: the ranks are those of a full search. Postings lie in folders by hashed term.
+Documents are dealt by hash into ranges of some ``RANGE_DOCS``; a block holds the postings of one term in one range. Its
+head has the least length for each count of the term (its peaks), which give the most any of its documents can score
+for the term, whatever the mean length has become. A search reads the heads of its terms, scores the ``k`` most promising
+ranges of each query, and leaves out every range whose bound is under the k-th score found there: the ranks are
+those of a full search. Postings lie in folders by hashed term.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from lexforge.operators.bm25 import B, K1, query_terms, top_k
 from lexforge.session import cut
 
 RANGE_DOCS, BUCKETS = 256, 32
-#: Ranges a query scores first, to learn a score it must pass.
-SEEDS = 2
-HEADS = "term string, range bigint, n bigint, most_tf bigint, least_dl bigint, ids array<{0}>, tfs array<bigint>, dls array<bigint>, bucket int"
 
 
 @dataclass(frozen=True)
@@ -67,8 +65,10 @@ def add(index: StoredIndex, docs: DataFrame, doc_id: str = "doc_id", text: str =
     words = cut(words)
     words.select("id", "range", "dl", "content").write.mode("append").parquet(f"{index.path}/documents")
     tf = words.select("id", "range", "dl", F.explode("tokens").alias("term")).groupBy("range", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    blocks = tf.groupBy("range", "term").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
-    kept = blocks.select("term", "range", "n", "most_tf", "least_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket(F.col("term")).alias("bucket"))
+    same = tf.groupBy("range", "term", "tf").agg(F.min("dl").alias("least"), F.collect_list(F.struct("id", "tf", "dl")).alias("p"))
+    blocks = same.groupBy("range", "term").agg(F.collect_list(F.struct("tf", F.col("least").alias("dl"))).alias("peaks"), F.flatten(F.collect_list("p")).alias("p"))
+    blocks = blocks.withColumn("p", F.array_sort("p")).withColumn("n", F.size("p").cast("bigint"))
+    kept = blocks.select("term", "range", "n", "peaks", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket(F.col("term")).alias("bucket"))
     kept.repartition("bucket", F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "term", "range").write.mode("append").partitionBy("bucket").parquet(f"{index.path}/blocks")
     return index
 
@@ -88,9 +88,9 @@ class Found:
 
 
 def heads(index: StoredIndex, terms: DataFrame) -> DataFrame:
-    """term, range, n, most_tf, least_dl of the blocks of ``terms(term)``; postings and other buckets are not read."""
+    """term, range, n and peaks of the blocks of ``terms(term)``; postings and other buckets are not read."""
     buckets = [r[0] for r in terms.select(_bucket(F.col("term"))).distinct().collect()]  # at most BUCKETS
-    near = index.blocks.where(F.col("bucket").isin(buckets)).select("term", "range", "n", "most_tf", "least_dl", "bucket")
+    near = index.blocks.where(F.col("bucket").isin(buckets)).select("term", "range", "n", "peaks", "bucket")
     return near.join(terms.select("term").distinct(), "term", "left_semi")
 
 
@@ -102,7 +102,7 @@ def search(index: StoredIndex, queries: DataFrame, k: int, query_id: str = "item
     df = known.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = cut(asked.join(df, "term").join(F.broadcast(corpus), how="cross").select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w")))  # corpus is one row
-    bound = F.col("w") * _share(F.col("most_tf"), F.col("least_dl"))
+    bound = F.col("w") * F.array_max(F.transform("peaks", lambda x: _share(x.tf, x.dl)))
     ranges = known.join(weights, "term").groupBy("query_id", "range").agg(F.sum(bound).alias("bound"), F.count(F.lit(1)).alias("blocks"))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
     ranges = cut(ranges.withColumn("first", first))
@@ -114,12 +114,12 @@ def search(index: StoredIndex, queries: DataFrame, k: int, query_id: str = "item
         joined = blocks.join(wanted, ["term", "range"])
         return joined.groupBy("query_id", F.col("p.ids").alias("id"), "range").agg(F.sum(F.col("w") * _share(F.col("p.tfs"), F.col("p.dls"))).alias("score"))
 
-    seeds = cut(score(ranges.where(F.col("first") <= SEEDS)))
+    seeds = cut(score(ranges.where(F.col("first") <= k)))
     bars = top_k(seeds, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("bar")).where(F.col("found") >= k)
-    open_ = ranges.where(F.col("first") > SEEDS).join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 1e-8))
+    open_ = ranges.where(F.col("first") > k).join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 1e-8))
     open_ = cut(open_.select("query_id", "range", "blocks"))
     hits = top_k(seeds.unionByName(score(open_)).where("score > 0"), k)
-    read = ranges.where(F.col("first") <= SEEDS).select("query_id", "blocks").unionByName(open_.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("read"))
+    read = ranges.where(F.col("first") <= k).select("query_id", "blocks").unionByName(open_.select("query_id", "blocks")).groupBy("query_id").agg(F.sum("blocks").alias("read"))
     work = ranges.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id")
     return Found(hits, work)
 

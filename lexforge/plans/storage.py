@@ -157,12 +157,13 @@ def scan_web(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with base as (select vec_id, label namespace, 0 version, embedding[1] x from embeddings), new as (select vec_id, label, 1, -embedding[1] from embeddings where vec_id % 3 = 0),
 u as (select * from base union all select * from new) select vec_id, namespace, arg_max(version, version) as version, round(arg_max(x, version), 6)::double x from u group by 1, 2""")
 def sink_upsert_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors upserted by id and namespace, the last version wins, stored by namespace and read back."""
+    """Vectors upserted by id and namespace into a table of buckets, the last version wins."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("namespace"), F.lit(0).alias("version"), F.col("embedding").alias("v"))
     changed = e.where("vec_id % 3 = 0").withColumn("version", F.lit(1)).withColumn("v", F.transform("v", lambda x: -x))
-    best = e.unionByName(changed).groupBy("vec_id", "namespace").agg(F.max_by(F.struct("version", "v"), "version").alias("r")).select("vec_id", "namespace", "r.*")
-    stored = S.replace(spark, best, _path(spark, "vectors"), ["namespace"])
-    return stored.select("vec_id", "namespace", "version", F.round(F.get("v", F.lit(0)), 6).cast("double").alias("x"))
+    stored = S.BucketTable.create(e.limit(0), _path(spark, "vectors"), ["vec_id", "namespace"], 16)
+    stored.upsert(e, "version")
+    stored.upsert(changed, "version")
+    return stored.read(e.schema).select("vec_id", "namespace", "version", F.round(F.get("v", F.lit(0)), 6).cast("double").alias("x"))
 
 
 @query("""select vec_id, left(text, 10000) content, label || ',1,2' tags, len(embedding)::int dims from embeddings join documents on doc_id = vec_id where len(embedding) > 0""")
@@ -176,9 +177,12 @@ def sink_upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'first' store, count(*) n, sum(event_id)::bigint s from events union all select 'second', count(*), sum(event_id)::bigint from events")
 def sink_dual_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _path(spark, "first"), _path(spark, "second")
-    S.dual_write(table(spark, sf_dir, "events").select("event_id", "user_id"), a, b)
-    both = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s")).withColumn("store", F.lit(n)) for n, p in (("first", a), ("second", b))]
+    """Three batches into two sinks, the second of them twice, as after a failure: each sink holds it once."""
+    first, second = S.Sink.open(spark, _path(spark, "first")), S.Sink.open(spark, _path(spark, "second"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    for batch in (0, 1, 1, 2):
+        S.dual_write(events.where(F.coalesce(F.col("event_id") % 3, F.lit(0)) == batch), batch, first, second)
+    both = [s.read(events.schema).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s")).withColumn("store", F.lit(n)) for n, s in (("first", first), ("second", second))]
     return both[0].unionByName(both[1])
 
 
@@ -198,9 +202,11 @@ def sink_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null) and coalesce(lang, '') != 'fr'")
 def sink_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents less some ids and a whole namespace (language), stored again."""
+    """Some ids and a whole namespace (language) dropped from a table of buckets."""
     docs, bad = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").where("toxic = 1")
-    return S.replace(spark, S.without_rows(docs, bad, "doc_id", "lang", ("fr",)), _path(spark, "kept"))
+    stored = S.BucketTable.create(docs, _path(spark, "kept"), ["doc_id"], 16)
+    stored.delete(bad.select("doc_id").union(docs.where("lang = 'fr'").select("doc_id")), docs.schema)
+    return stored.read(docs.schema)
 
 
 @query("select doc_id as id, left(text, 5000) content, left(source, 3) source from documents")
