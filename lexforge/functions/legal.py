@@ -181,24 +181,58 @@ def follow_ups(answer: Column, most: int = 5) -> Column:
     return F.slice(F.filter(lines, lambda s: s.endswith("?")), 1, most)
 
 
+#: Whole strings, marks, numbers and words of JSON; a string that does not end takes the rest.
+JSON_TOKEN = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|[\[\]{}:,]|[^\s\[\]{}:,"]+|"[\s\S]*'
+JSON_STRING = r'"[^"\\]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\]*+)*+"'
+JSON_LITERAL = rf"^(?:{JSON_STRING}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
+
+
+def _json_value(answer: Column, opener: str) -> Column:
+    """The JSON that begins at the first ``opener`` of an answer, as compact text; null where none can be read.
+
+    Fences and prose around it go. Marks, strings and words are folded with a stack of open brackets and what may come
+    next, up to the end of the stack or the first token that may not. A text that is cut off keeps what was whole, up to
+    the last value, and its brackets are closed; a name without a value goes, so does a word or number cut short of a
+    valid one. Brackets within strings are text.
+    """
+    bare = F.regexp_replace(_empty(answer), r"```(?:json)?", "")
+    tokens = F.regexp_extract_all(F.regexp_extract(bare, rf"(?s)(\{opener}.*)", 1), F.lit(JSON_TOKEN), F.lit(0))
+    state = "struct<stack:string,next:string,n:int,whole:int,open:string,over:boolean>"
+    begin = F.struct(F.lit("").alias("stack"), F.lit("value").alias("next"), F.lit(0).alias("n"), F.lit(0).alias("whole"), F.lit("").alias("open"), F.lit(False).alias("over")).cast(state)
+
+    def step(acc: Column, t: Column) -> Column:
+        top, due, n = F.right(acc["stack"], F.lit(1)), acc["next"], acc["n"] + 1
+        opens = t.isin("{", "[") & due.isin("value", "value or ]")
+        closes = ((t == "]") & (top == "[") & due.isin("value or ]", "comma")) | ((t == "}") & (top == "{") & due.isin("name or }", "comma"))
+        value = t.rlike(JSON_LITERAL) & due.isin("value", "value or ]")
+        name = t.rlike(f"^{JSON_STRING}$") & due.isin("name", "name or }")
+        comma = (t == ",") & (due == "comma")
+        stack = F.when(opens, F.concat(acc["stack"], t)).when(closes, F.left(acc["stack"], F.length(acc["stack"]) - 1)).otherwise(acc["stack"])
+        after = F.when(opens, F.when(t == "{", "name or }").otherwise("value or ]")).when(closes | value, "comma").when(name, "colon").when((t == ":") & (due == "colon"), "value").when(comma, F.when(top == "{", "name").otherwise("value"))
+        safe = opens | closes | value
+        row = F.struct(stack.alias("stack"), after.alias("next"), n.alias("n"), F.when(safe, n).otherwise(acc["whole"]).alias("whole"), F.when(safe, stack).otherwise(acc["open"]).alias("open"), (stack == "").alias("over"))
+        stop = F.struct(acc["stack"].alias("stack"), due.alias("next"), acc["n"].alias("n"), acc["whole"].alias("whole"), acc["open"].alias("open"), F.lit(True).alias("over"))
+        return F.when(acc["over"], acc).when(after.isNull(), stop.cast(state)).otherwise(row.cast(state))
+
+    def told(parts: Column) -> Column:
+        def closed(end: Column) -> Column:
+            text = F.array_join(F.transform(F.slice(parts, 1, end["whole"]), lambda t: F.regexp_replace(t, r"[\n\r\t]", " ")), "")
+            return F.concat(text, F.translate(F.reverse(end["open"]), "{[", "}]"))
+
+        return let(F.aggregate(parts, begin, step), closed)
+
+    whole = let(tokens, told)
+    return let(whole, lambda v: F.when((v != "") & F.try_parse_json(v).isNotNull(), v))
+
+
 def json_object(answer: Column) -> Column:
-    """The JSON object within an answer, as text: fences and the prose around it go, one that is cut off loses its
-    last unfinished member and is closed; null without."""
-
-    def salvaged(bare: Column) -> Column:
-        body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-        return F.when((body != "") & F.try_parse_json(body).isNotNull(), body).otherwise(let(F.regexp_extract(bare, r"(?s)(\{.*)", 1), closed))
-
-    def closed(tail: Column) -> Column:
-        # Within a string at the end the quotes are odd in number; else a name may stand there without its value.
-        odd = F.regexp_count(tail, F.lit('"')) % 2 == 1
-        broken = F.regexp_replace(tail, r'(?s),?\s*(?:"[^"]*"\s*:\s*)?"[^"]*$', "")
-        cut = F.rtrim(F.when(odd, broken).otherwise(F.regexp_replace(tail, r'(?s),?\s*(?:"[^"]*"\s*:)?\s*$', "")))
-        missing = lambda a, b: F.greatest(F.regexp_count(cut, F.lit(a)) - F.regexp_count(cut, F.lit(b)), F.lit(0))
-        whole = F.concat(cut, F.repeat(F.lit("]"), missing(r"\[", r"\]")), F.repeat(F.lit("}"), missing(r"\{", r"\}")))
-        return F.when((tail != "") & F.try_parse_json(whole).isNotNull(), whole)
-
-    return let(F.regexp_replace(_empty(answer), r"```(?:json)?", ""), salvaged)
+    """The first JSON object within an answer, as text, mended if it is cut off; null without."""
+    return _json_value(answer, "{")
+
+
+def json_array(answer: Column) -> Column:
+    """The first JSON array within an answer, as text, mended if it is cut off; null without."""
+    return _json_value(answer, "[")
 
 
 def judge_score(answer: Column, name: str, other: float = 0.5) -> Column:

@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.legal import SECTIONS
 from lexforge.functions.text import let, word_count
+from lexforge.session import importable
 
 BUDGET = 120
 #: Words a chunk aims at, by kind of content; a longer paragraph than ``MOST`` stands alone, and a tail
 #: of fewer than ``LEAST`` joins the chunk before it in its section.
 TARGET, MOST, LEAST = {"statute": 128, "list": 128, "narrative": 384}, 512, 50
 
-# Headings with the section each begins, and marks of statutes and lists.
-HEADINGS = {
-    "facts": ["FACTUAL BACKGROUND", "BACKGROUND", "FACTS", "FACT"],
-    "law": ["LEGAL FRAMEWORK", "APPLICABLE LAW", "RELEVANT LAW", "LAW"],
-    "analysis": ["ANALYSIS", "DISCUSSION", "REASONING"],
-    "conclusion": ["CONCLUSION", "DECISION", "ORDER", "DISPOSITION"],
-    "issues": ["ISSUES", "ISSUE"],
-    "relief": ["RELIEF", "REMEDY", "DAMAGES"],
-    "overview": ["OVERVIEW"],
-    "introduction": ["INTRODUCTION"],
-    "summary": ["SUMMARY"],
-    "between": ["BETWEEN"],
-    "before": ["BEFORE"],
-}
-NUMBERING = r"(?:[IVXLCDM]+\.?\s+|[A-Z]\.?\s+|\d+\.?\s+)?"
-STATUTE = [r"(?i)(?:s\.|section)\s*\d+", r"\(\d+\)\s*[A-Z]", r"(?i)\b(?:shall|must|may not|is prohibited)\b"]
+# What may number a heading, headings, and marks of statutes and of lists.
+NUMBERING = r"(?:(?:[IVXLCDM]+\.?\s+)|(?:[A-Z]\.?\s+)|(?:\d+\.?\s+))?"
+HEADINGS = (
+    r"(FACTS?|BACKGROUND|FACTUAL BACKGROUND"
+    r"|LAW|LEGAL FRAMEWORK|APPLICABLE LAW|RELEVANT LAW"
+    r"|ANALYSIS|DISCUSSION|REASONING"
+    r"|CONCLUSION|DECISION|ORDER|DISPOSITION"
+    r"|ISSUES?"
+    r"|RELIEF|REMEDY|DAMAGES"
+    r"|OVERVIEW|INTRODUCTION|SUMMARY"
+    r"|BETWEEN|BEFORE)"
+)
+STATUTE = [r"(?i)(?:s\.|[Ss]ection)\s*\d+", r"\(\d+\)\s*[A-Z]", r"(?i)\b(?:shall|must|may not|is prohibited)\b"]
 LIST = r"(?m)^\s*(?:[-•*]|\([a-z]\)|\([ivx]+\)|\d+\.)\s+"
 
 
@@ -84,17 +88,17 @@ def content_type(text: Column) -> Column:
 
 
 def section_name(text: Column) -> Column:
-    """The section that the first line's heading begins; body without any."""
-    name = F.lit(None).cast("string")
-    for section, marks in reversed(HEADINGS.items()):
-        name = F.when(text.rlike(rf"(?i)^\s*{NUMBERING}(?:{'|'.join(marks)})"), section).otherwise(name)
+    """The section that the first line's heading begins, else the heading itself; null without any."""
+    heading = F.upper(F.regexp_extract(text, rf"(?i)^\s*{NUMBERING}{HEADINGS}", 1))
+    name = F.when(heading != "", F.lower(heading))
+    for section, marks in reversed(SECTIONS):
+        name = F.when(heading.rlike(marks), section).otherwise(name)
     return name
 
 
 def split_sections(text: Column) -> Column:
     """Pieces of a text that begin at headings; joined, they give the text."""
-    every = "|".join(m for marks in HEADINGS.values() for m in marks)
-    return F.split(text, rf"(?im)(?=^{NUMBERING}(?:{every}))")
+    return F.split(text, rf"(?im)(?=^{NUMBERING}{HEADINGS})")
 
 
 def paragraphs(text: Column) -> Column:
@@ -145,3 +149,99 @@ def chunk_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     numbers = F.regexp_extract_all(F.col("c.text"), F.lit(r"(?m)^\[([0-9]+)\]"), F.lit(1))
     ends = [F.get(numbers, i).try_cast("bigint") for i in (F.lit(0), F.size(numbers) - 1)]
     return rows.select(id_col, "section_index", "section", "content_type", "chunk_index", F.col("c.text").alias("content"), F.col("c.n").alias("token_count"), ends[0].alias("first_par"), ends[1].alias("last_par"))
+
+
+# --- by tokens of a byte-level vocabulary ---
+
+#: Characters given to the tokenizer at once; longer texts are cut where a token must begin.
+SEGMENT = 1 << 17
+PARAGRAPH, SENTENCE, CUT = re.compile(r"\n\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"(?<=\S) ")
+_TOKENIZERS: dict = {}
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        _TOKENIZERS[path].encode_special_tokens = True
+    return _TOKENIZERS[path]
+
+
+def token_offsets(text: str, path: str) -> list[tuple[int, int]]:
+    """First and last sign (exclusive) of every token."""
+    out, at = [], 0
+    while at < len(text):
+        to = len(text)
+        if to - at > SEGMENT:
+            found = CUT.search(text, at + SEGMENT)
+            to = found.start() if found else to
+        out += [(a + at, b + at) for a, b in _tokenizer(path).encode(text[at:to], add_special_tokens=False).offsets]
+        at = to
+    return out
+
+
+def token_pieces(text: str, ends: list[int], most: int) -> list[int]:
+    """The token after each piece: paragraphs, sentences of those over ``most`` tokens, and cuts of longer ones."""
+    out: list[int] = []
+
+    def add(last: int) -> None:
+        while last - (out[-1] if out else 0) > most:
+            out.append((out[-1] if out else 0) + most)
+        if last > (out[-1] if out else 0):
+            out.append(last)
+
+    def bounds(pattern: re.Pattern, a: int, b: int) -> list[int]:
+        return [m.start() for m in pattern.finditer(text, a, b)] + [b]
+
+    start = 0
+    for end in bounds(PARAGRAPH, 0, len(text)):
+        last = bisect_right(ends, end)
+        if last - (out[-1] if out else 0) > most:
+            for stop in bounds(SENTENCE, start, end):
+                add(bisect_right(ends, stop))
+        add(last)
+        start = end
+    add(len(ends))
+    return out
+
+
+def token_spans(pieces: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
+    """Runs of tokens of at most ``budget``: whole pieces while they fit, each run led by the last ``overlap`` of the one
+    before. No piece is longer than ``budget - overlap``."""
+    out, a, b = [], 0, 0
+    for end in pieces:
+        if end - a > budget and b:
+            out.append((a, b))
+            a = max(0, b - overlap)
+        b = end
+    return [*out, (a, b)] if b else out
+
+
+def chunk_tokens(docs: DataFrame, tokenizer: str, budget: int = 512, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, chunk_index, total_chunks, first_token, token_count, content: chunks of at most ``budget`` tokens.
+
+    Runs of line ends and of spaces fold first. Chunks hold whole paragraphs while they fit; a paragraph that would not fit
+    beside the overlap is parted into sentences, and a sentence that would not into runs of tokens. Every token is in some
+    chunk and neighbours share exactly ``overlap`` tokens. Null and blank texts give none. ``tokenizer`` is the file of a
+    byte-level vocabulary, at the same place on every worker.
+    """
+    if not 0 <= overlap < budget:
+        raise ValueError("the overlap must be smaller than the budget")
+    importable(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("_text")).where(F.col("_text").rlike(r"\S"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], [], []]
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                offsets = token_offsets(text, tokenizer)
+                spans = token_spans(token_pieces(text, [b for _, b in offsets], budget - overlap), budget, overlap)
+                for k, (a, b) in enumerate(spans):
+                    for col, v in zip(cols, (i, k, len(spans), a, b - a, text[offsets[a][0] : offsets[b - 1][1]])):
+                        col.append(v)
+            ids = batch.column(id_col).take(pa.array(cols[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())))], [id_col, "chunk_index", "total_chunks", "first_token", "token_count", "content"])
+
+    return rows.mapInArrow(run, f"{id_col} {kind}, chunk_index int, total_chunks int, first_token bigint, token_count bigint, content string")

@@ -9,7 +9,7 @@ from lexforge.functions import text as T
 from lexforge.functions import legal as L
 from lexforge.operators import bm25, chunking, filters, ranking, scoring
 from lexforge.operators.numbering import number
-from lexforge.session import table
+from lexforge.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ select query_id, id, rank::int as rank, round(score, 6) score from
 
 @query(BM25_SQL)
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    found = bm25.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 10)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -57,7 +57,7 @@ with d as (select doc_id id, {tokens_sql('text')} ws from documents),
 t as (select distinct id, unnest(ws) term from d), n as (select count(*) n from d)
 select term, count(*) df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) idf from t, n group by 1""")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = bm25.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -97,7 +97,7 @@ def vec_metrics_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ranked lists a query: by words and by length of shared words."""
     docs = table(spark, sf_dir, "documents")
-    found = bm25.search(docs, table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", "score")
+    found = bm25.search(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", "score")
     short = found.join(docs.select(F.col("doc_id").alias("id"), "n_chars"), "id").select("query_id", "id", (F.lit(1000.0) / (1000.0 + F.col("n_chars"))).alias("score"))
     return found.withColumn("list_id", F.lit("bm25")).unionByName(short.withColumn("list_id", F.lit("short")))
 
@@ -209,19 +209,28 @@ def scan_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(table(spark, sf_dir, "documents"))
+    return chunking.chunk(spread(table(spark, sf_dir, "documents")))
 
 
 @query()
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_overlap(chunking.chunk(table(spark, sf_dir, "documents")))
+    return chunking.with_overlap(chunking.chunk(spread(table(spark, sf_dir, "documents"))))
+
+
+@query()
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 512 tokens that share 50; a test runs the rule in plain Python."""
+    import public_tokenizers
+
+    return chunking.chunk_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query()
 def agg_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    chunks = chunking.chunk(docs).join(docs.select("doc_id", "lang"), "doc_id")
-    return chunks.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("token_count"), 1).alias("avg_tokens"))
+    """How many chunks each kind of section gives, and their sizes."""
+    chunks = chunking.chunk_sections(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    n = F.col("token_count")
+    return chunks.groupBy("section", "content_type").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(n), 1).alias("avg_tokens"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
 @query("""select doc_id, 'doc_summary_' || doc_id id, left(text, 1024) summary from documents""")

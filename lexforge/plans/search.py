@@ -315,3 +315,17 @@ def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(k == 0, F.concat(body, F.lit("}"))).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("}\n``` done"))).when(k == 2, F.concat(body, F.lit(', "why": "bec'))).when(k == 3, F.lit('{"other": 1}')).otherwise(F.lit("no idea"))
     e = table(spark, sf_dir, "events").select("event_id", said.alias("said"))
     return e.select("event_id", F.round(L.judge_score(F.col("said"), "score"), 6).alias("score"), L.json_object(F.col("said")).isNotNull().alias("parsed"))
+
+
+@query("""with w as (select doc_id, list_slice(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), 1, 30) ws from documents),
+b as (select doc_id, ws, 'Sure: ["' || array_to_string(ws, '", "') || '"] done' body from w), c as (select doc_id, ws, 6 + (doc_id * 7) % (length(body) - 5) keep, length(body) n from b),
+p as (select doc_id, keep, 7 + sum(length(t) + 4) over (partition by doc_id order by i) - 2 till from (select doc_id, keep, unnest(ws) t, generate_subscripts(ws, 1) i from c)),
+f as (select doc_id, count(*) filter (till <= keep) n from p group by 1)
+select doc_id, case when keep >= 7 then coalesce(f.n, 0) + case when len(ws) = 0 and keep >= 9 then 1 else 0 end end::int n from c left join f using (doc_id)""")
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many members survive of an array within an answer that is cut off anywhere; null before it begins."""
+    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), 1, 30)
+    body = F.concat(F.lit('Sure: ["'), F.array_join(words, '", "'), F.lit('"] done'))
+    docs = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    cut_off = docs.select("doc_id", F.left("body", (6 + (F.col("doc_id") * 7) % (F.length("body") - 5)).cast("int")).alias("said"))
+    return cut_off.select("doc_id", F.json_array_length(L.json_array(F.col("said"))).alias("n"))
