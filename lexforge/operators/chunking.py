@@ -43,7 +43,7 @@ def normalise(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences by end marks and line ends, trimmed; empty ones go."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def pack_sentences(parts: Column, budget: int = BUDGET) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.operators import bm25, triples
+from lexforge.operators import bm25, scoring, treesearch, triples
 from lexforge.plans.retrieval import BM25_SQL
 from lexforge.session import cut, spread, table
 
@@ -111,3 +111,32 @@ def vector_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = cut(triples.edges_of(_triples(spark, sf_dir)))
     texts = triples.described(triples.around(edges, links.select(F.col("name").alias("seed")), 2))
     return triples.merged(hits, links, texts)
+
+
+def sentences(text: F.Column) -> F.Column:
+    """What a question asks: its sentences."""
+    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def thirds(text: F.Column) -> F.Column:
+    """A sub-question in up to three runs of its words; one word stays as it is."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    step = F.greatest(F.ceil(F.size(words) / 3).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 1, step), lambda i: F.array_join(F.slice(words, i + 1, step), " "))
+    return F.when(F.size(words) > 1, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a search over every item, worth what excerpts of its third to fifth best documents say of a sub-question."""
+    docs, items = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
+    found = bm25.search(docs, items, 5).where("rank > 2").select("query_id", "id", "rank")
+    texts = found.join(docs.withColumnRenamed("doc_id", "id"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 500).alias("t")))).alias("e"))
+    roots = items.select(F.col("item_id").alias("root"), F.coalesce("text", F.lit("")).alias("question")).join(texts.withColumnRenamed("query_id", "root"), "root", "left")
+    roots = roots.select("root", "question", F.coalesce(F.transform("e", lambda x: x["t"]), F.array().cast("array<string>")).alias("evidence"))
+    return treesearch.search(roots, sentences, thirds, lambda q: scoring.evidence_heuristic(F.col("evidence"), q), rounds=12)
+
+
+@query()
+def mcts_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best line of sub-questions of every item after a tree search; a test runs it in plain Python."""
+    return treesearch.best_path(_trees(spark, sf_dir)).select("root", "path", "depth", "question", "visits", F.round("mean", 6).alias("mean"))
