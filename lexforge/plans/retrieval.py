@@ -189,13 +189,6 @@ def proj_format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), (F.col("at") + 1).alias("idx"))
 
 
-@query("""with r as (select page_id, url, html from pages) select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title,
-contains(lower(html), 'captcha') captcha, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) n_links from r""")
-def scan_html_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", T.html_title(html).alias("title"), F.contains(F.lower(html), F.lit("captcha")).alias("captcha"), F.size(T.html_links(html)).cast("bigint").alias("n_links"))
-
-
 @query("""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) body from pages""")
 def scan_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("body"))

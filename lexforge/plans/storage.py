@@ -99,17 +99,6 @@ def scan_dataset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.datasets(spark, root).select(F.regexp_replace("dataset", "^source=", "").alias("dataset"))
 
 
-@query("select event_id, regexp_extract(props, '\"([^\"]*)\"', 1) keys, regexp_extract(props, ': *([0-9]+)', 1) k from events")
-def scan_html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of "key: value" as a map, keys lower-cased, the last of equal ones."""
-    rows = F.split(F.regexp_replace("props", '[{}"]', ""), ",")
-    part = lambda s, i: F.trim(F.get(F.split(s, ":", 2), F.lit(i)))
-    pairs = F.filter(F.transform(rows, lambda s: F.struct(F.lower(part(s, 0)).alias("k"), part(s, 1).alias("v"))), lambda x: x["k"] != "")
-    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["k"]), F.map_from_arrays(F.array(x["k"]), F.array(x["v"])))
-    meta = table(spark, sf_dir, "events").select("event_id", F.aggregate(pairs, F.create_map().cast("map<string,string>"), put).alias("meta"))
-    return meta.select("event_id", F.array_join(F.map_keys("meta"), ",").alias("keys"), F.try_element_at("meta", F.lit("k")).alias("k"))
-
-
 @query("select page_id, upper(regexp_extract(url, '^https?://[^/]+/([A-Za-z]+)(/|$)', 1)) jurisdiction, upper(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)) lang from pages")
 def scan_html_canlii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jurisdiction from the first segment of the address, and the language a page states."""
