@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators import answers as A
 from lexforge.operators import classifier, filters, graph, scoring
 from lexforge.session import cut, table
 from lexforge.streaming import events as E
@@ -245,6 +246,30 @@ def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.cross_checked(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_size_band")
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> classifier.Trained:
+    """A forest for the quality of labelled documents by language, source, length and signs that prose seldom has."""
+    d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null")
+    odd = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^%$#*&]+", "")) * 100 / F.greatest(F.length("text"), F.lit(1))
+    rows = d.join(y, "doc_id").select("doc_id", "lang", "source", F.floor(F.log2(F.col("n_chars") + 1)).alias("length"), F.least(F.floor(odd), F.lit(9)).alias("odd_signs"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("quality"))
+    return classifier.train(rows, "doc_id", ["lang", "source", "length", "odd_signs"], "quality")
+
+
+@query()
+def rf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the grid chose, accuracy over folds, metrics on the held-out fifth and importances, as (name, value)."""
+    t = _trained(spark, sf_dir)
+    m = A.ml_metrics(t.test, "label", "predicted").first()
+    told = [("cv_mean", t.cv_mean), ("cv_std", t.cv_std), *m.asDict().items(), *((k, float(v)) for k, v in t.chosen.items()), *((f"importance_{f}", w) for f, w in t.importances)]
+    return spark.createDataFrame([(k, float(v)) for k, v in told if v is not None], "name string, value double")
+
+
+@query()
+def rf_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each held-out document's predicted class with the reasons that count most."""
+    t = _trained(spark, sf_dir)
+    return classifier.explained(t.test, t, {"good": "The document is likely sound", "bad": "The document is likely junk"}, "No class").select("doc_id", "predicted", F.round("confidence", 6).alias("confidence"), "explanation")
+
+
 @query("""select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2""")
 def agg_promql(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = E.windowed_metrics(table(spark, sf_dir, "events"))
