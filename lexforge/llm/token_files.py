@@ -26,6 +26,8 @@ from lexforge.session import importable
 BLOCK = 1024
 #: A segment is closed at so many ids; a longer document stays whole in its own.
 SEGMENT_IDS = 1 << 17
+#: Text bytes a range (and file) aims at.
+RANGE_BYTES = 1 << 27
 HEAD = np.dtype([("low", "<u4"), ("n", "<u2"), ("width", "u1"), ("high", "u1"), ("out", "<u2")])
 
 
@@ -142,15 +144,20 @@ SEGMENT = "part int, segment int, doc_ids array<bigint>, lengths array<bigint>,
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write token files in ascending doc_id order.
 
-    Documents are dealt by ranges of doc_id, so that files in order of ``part`` hold ascending ids; a
-    null text is empty and still gets its end id; null doc_ids come first; equal doc_ids stay side by
-    side in order of their texts, and repeated rows are written each; a long text stays whole; an empty table
+    Documents are dealt by ranges of doc_id, of some ``RANGE_BYTES`` of text, so that files in order of ``part`` hold
+    ascending ids; a null text is empty and still gets its end id; null doc_ids come first; equal doc_ids stay side by
+    side in order of their texts' hashes, and repeated rows are written each; a long text stays whole; an empty table
     gives files without rows. Other columns are ignored. No task holds more than one segment.
     """
     spark = docs.sparkSession
     importable(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    n = partitions
+    if n is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    # Ranges may part rows of one doc_id by the hash of their texts, so an id that repeats without end fills no task.
+    dealt = rows.repartitionByRange(n, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
