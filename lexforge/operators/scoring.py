@@ -76,20 +76,35 @@ def nearest_rank_by_count(df: DataFrame, by: list[str], value: str, p: float, ra
     return counts.withColumn("_upto", upto).where("_upto > _at").groupBy(*by).agg(F.min("_v").alias(value))
 
 
-def feedback_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, shares of useful and wrong, and times of the first and last, a group."""
-    return df.groupBy(*by).agg(
+def feedback_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of ``df(rating, error_type, at)`` a group: rows, shares of useful and wrong, how many ratings and error types of
+    each kind (as sorted text), and ``at`` of its first and last row by ``order``. Kinds are few."""
+    whole = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((F.col("rating") == "useful").cast("double")), 3).alias("useful_rate"),
         F.round(F.avg((F.col("rating") == "wrong").cast("double")), 3).alias("wrong_rate"),
+        F.min_by("at", order).alias("earliest"),
+        F.max_by("at", order).alias("latest"),
     )
+    for kind, name in (("rating", "ratings"), ("error_type", "error_types")):
+        counts = df.where(F.col(kind).isNotNull()).groupBy(*by, kind).agg(F.count(F.lit(1)).alias("_n"))
+        text = counts.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", kind, F.col("_n").cast("string")))), ",").alias(name))
+        whole = whole.join(text, by, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return whole
 
 
 def pairwise(df: DataFrame, by: list[str], margin: float = 0.05) -> DataFrame:
-    """Means of both sides, their difference and the winner (tie within the margin)."""
-    m = df.groupBy(*by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_samp(F.col("a") - F.col("b")).alias("spread"))
+    """Means and sample deviations of both sides a and b, the winner (tie within the margin), and confidence: how
+    consistent the sides are times five times their distance, within 0 and 1; of one row the distance itself."""
+    m = df.groupBy(*by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"), F.count(F.lit(1)).alias("n"))
     d = F.col("mean_a") - F.col("mean_b")
-    return m.withColumn("winner", F.when(F.abs(d) < margin, "tie").when(d > 0, "a").otherwise("b"))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - (F.col("std_a") + F.col("std_b")) / 2) * F.abs(d) * 5))
+    return m.withColumn("winner", F.when(F.abs(d) < margin, "tie").when(d > 0, "a").otherwise("b")).withColumn("confidence", F.when(F.col("n") > 1, sure).otherwise(F.abs(d)))
+
+
+def verbosity_penalty(words: Column, most: int = 500, slack: float = 1.2) -> Column:
+    """1 up to ``most`` words, then their share times ``slack``, at most 1."""
+    return F.when(words > most, F.least(F.lit(1.0), most / words * slack)).otherwise(F.lit(1.0))
 
 
 def histogram_quantile(within: list[Column], total: Column, bounds: list[float], q: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions import text as T
 from lexforge.operators import answers as A
 from lexforge.operators import classifier, filters, graph, scoring
 from lexforge.session import cut, table
@@ -63,9 +64,15 @@ def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id").select("doc_id", "source", rating.alias("rating"))
 
 
-@query(f"""with {FEEDBACK} select source, count(*) n, round(avg((rating = 'useful')::int), 3) useful_rate, round(avg((rating = 'wrong')::int), 3) wrong_rate from f group by 1""")
+@query(f"""with {FEEDBACK}, e as (select *, case when rating = 'wrong' then case when doc_id % 2 = 0 then 'hallucination' else 'outdated' end when rating = 'partial' then 'incomplete' end error_type from f),
+r as (select source, string_agg(rating || ':' || n, ',' order by rating || ':' || n) ratings from (select source, rating, count(*) n from e group by all) group by 1),
+x as (select source, string_agg(error_type || ':' || n, ',' order by error_type || ':' || n) error_types from (select source, error_type, count(*) n from e where error_type is not null group by all) group by 1)
+select e.source, count(*) n, round(avg((rating = 'useful')::int), 3) useful_rate, round(avg((rating = 'wrong')::int), 3) wrong_rate, min(doc_id) earliest, max(doc_id) latest, any_value(ratings) ratings, coalesce(any_value(error_types), '') error_types
+from e left join r on r.source = e.source left join x on x.source = e.source group by 1""")
 def agg_feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.feedback_summary(_feedback(spark, sf_dir), ["source"])
+    """Feedback by source: rates, ratings and error types, and the first and last entry."""
+    kind = F.when(F.col("rating") == "wrong", F.when(F.col("doc_id") % 2 == 0, "hallucination").otherwise("outdated")).when(F.col("rating") == "partial", "incomplete")
+    return scoring.feedback_summary(_feedback(spark, sf_dir).withColumn("error_type", kind).withColumn("at", F.col("doc_id")), ["source"], "doc_id")
 
 
 @query(f"""with {FEEDBACK} select source, count(*) wrong, min(doc_id) first_doc from f where rating = 'wrong' group by 1 having count(*) >= 3""")
@@ -87,20 +94,24 @@ def agg_benchmark_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select o_orderpriority, round(sum(o_totalprice * w) / sum(w), 4) weighted from
-(select *, case o_orderstatus when 'F' then 2.0 when 'O' then 1.0 else 0.5 end::double w from orders) group by 1""")
+@query("""with d as (select doc_id, quality::double q, 1.0 - toxic s, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w != '')) n from documents join labels using (doc_id)),
+p as (select *, case when n > 500 then least(1.0, 500.0 / n * 1.2) else 1.0 end::double p from d)
+select doc_id, round((q * 0.6 * p + s * 0.4 * p) / 1.0, 4)::double overall from p where q is not null and s is not null""")
 def agg_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.when(F.col("o_orderstatus") == "F", 2.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.5)
-    o = table(spark, sf_dir, "orders").withColumn("w", w)
-    return o.groupBy("o_orderpriority").agg(F.round(F.sum(F.col("o_totalprice") * F.col("w")) / F.sum("w"), 4).alias("weighted"))
+    """Component scores weighted and held down for texts of many words."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality is not null and toxic is not null")
+    penalty, weights = scoring.verbosity_penalty(T.word_count(F.col("text"))), {"quality": 0.6, "safety": 0.4}
+    scores = {"quality": F.col("quality").cast("double"), "safety": 1.0 - F.col("toxic")}
+    return d.select("doc_id", F.round(sum((scores[c] * w * penalty for c, w in weights.items()), F.lit(0.0)) / sum(weights.values()), 4).alias("overall"))
 
 
-@query("""with m as (select l_shipmode_key k, avg(l_discount) mean_a, avg(l_tax) mean_b from (select *, l_returnflag || l_linestatus l_shipmode_key from lineitem) group by 1)
-select k, round(mean_a, 6) mean_a, round(mean_b, 6) mean_b, case when abs(mean_a - mean_b) < 0.05 then 'tie' when mean_a > mean_b then 'a' else 'b' end winner from m""")
+@query("""with m as (select l_shipmode_key k, avg(l_discount) mean_a, avg(l_tax * 4) mean_b, stddev_samp(l_discount) std_a, stddev_samp(l_tax * 4) std_b, count(*) n from (select *, l_returnflag || l_linestatus l_shipmode_key from lineitem) group by 1)
+select k, round(mean_a, 6) mean_a, round(mean_b, 6) mean_b, round(std_a, 6) std_a, round(std_b, 6) std_b, case when abs(mean_a - mean_b) < 0.05 then 'tie' when mean_a > mean_b then 'a' else 'b' end winner,
+round(case when n > 1 then greatest(0.0, least(1.0, (1 - (std_a + std_b) / 2) * abs(mean_a - mean_b) * 5)) else abs(mean_a - mean_b) end::double, 6) confidence from m""")
 def agg_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), F.col("l_discount").alias("a"), (F.col("l_tax") * 4).alias("b"))
     m = scoring.pairwise(rows, ["k"])
-    return m.select("k", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), "winner")
+    return m.select("k", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "std_a", "std_b")], "winner", F.round("confidence", 6).alias("confidence"))
 
 
 @query("select lang, round(coalesce(covar_pop(n_chars::double, quality::double) / nullif(stddev_pop(n_chars::double) * stddev_pop(quality::double), 0), 0), 6) r, count(*) n from documents join labels using (doc_id) group by 1")

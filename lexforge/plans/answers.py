@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions import legal
 from lexforge.functions import text as T
 from lexforge.operators import answers as A
 from lexforge.operators import bm25, chunking, scoring
 from lexforge.plans.retrieval import BM25_SQL, tokens_sql
-from lexforge.session import shared_dir, table
+from lexforge.session import shared_dir, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,13 +125,14 @@ def evid_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _talk(spark, sf_dir).select("conv_id", F.round(scoring.evidence_heuristic(evidence, F.col("sources")), 6).alias("score"))
 
 
-@query("""with s as (select source, {'accuracy': avg(quality)::double, 'safety': 1.0 - avg(toxic)::double} m from documents join labels using (doc_id) group by 1)
-select source, round(0.35 * coalesce(m.accuracy, 0.5) + 0.25 * coalesce(m.safety, 0.5) + 0.4 * 0.5, 6) reward from s""")
+@query("""with s as (select source, avg(quality)::double pa, 1.0 - avg(toxic)::double fc, least(1.0, count(*) / 100.0)::double es from documents join labels using (doc_id) group by 1)
+select source, round(0.35 * coalesce(pa, 0.5) + 0.25 * coalesce(fc, 0.5) + 0.25 * 0.5 + 0.15 * es, 6) reward from s""")
 def reward_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judge's four scores weighted; one that is not given counts a half."""
     rated = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    scores = F.create_map(F.lit("accuracy"), F.avg("quality"), F.lit("safety"), 1.0 - F.avg("toxic"))
+    scores = F.create_map(F.lit("precedent_alignment"), F.avg("quality"), F.lit("factor_completeness"), 1.0 - F.avg("toxic"), F.lit("evidence_strength"), F.least(F.lit(1.0), F.count(F.lit(1)) / 100.0))
     m = rated.groupBy("source").agg(scores.alias("m"))
-    return m.select("source", F.round(A.reward(F.col("m"), {"accuracy": 0.35, "safety": 0.25, "depth": 0.4}), 6).alias("reward"))
+    return m.select("source", F.round(A.reward(F.col("m"), A.REWARD_WEIGHTS), 6).alias("reward"))
 
 
 @query(f"""with {TALK_SQL}, n as (select conv_id, {COUNT_SQL.format('sources')} i, {COUNT_SQL.format('answer')} o from talk)
@@ -178,11 +180,12 @@ def win_lru_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.least_recent(table(spark, sf_dir, "events"), "user_id", 100).select("user_id", "evicted")
 
 
-@query(f"select * from ({BM25_SQL.replace('rank <= 10', 'rank between 6 and 10')})")
+@query(f"select query_id, id, rank, score, total from (select *, count(*) over (partition by query_id) total from ({BM25_SQL})) where rank between 6 and 10")
 def sort_page_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of five results of every query."""
-    found = bm25.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
-    return found.where("rank between 6 and 10").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    """The second page of five results of every query, and how many were fetched for it."""
+    found = bm25.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 10)
+    held = found.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))  # ten rows a query
+    return held.where("rank between 6 and 10").select("query_id", "id", "rank", F.round("score", 6).alias("score"), "total")
 
 
 @query("""select doc_id, left(md5(coalesce(text, '')), 12) short_id, left(sha256(coalesce(text, '')), 16) cache_key,
@@ -193,15 +196,36 @@ def proj_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.md5(text), 1, 12).alias("short_id"), F.substring(F.sha2(text, 256), 1, 16).alias("cache_key"), F.regexp_replace(chunk, "_chunk[0-9]+$", "").alias("parent_id"))
 
 
-@query(f"""with {TALK_SQL} select conv_id, sources instruction, answer as output from talk where answer is not null and sources is not null""")
+@query(f"""with {TALK_SQL} select conv_id, sources instruction, answer as output from talk where answer is not null and sources is not null and conv_id in (select doc_id from labels where quality = 1 and toxic = 0)""")
 def sink_train_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answered conversations as JSON lines of instruction, input and output, written and read back."""
-    rows = _talk(spark, sf_dir).where("answer is not null and sources is not null")
+    """Answered conversations that were rated useful (labels of their number) as JSON lines of instruction, input and
+    output, written and read back."""
+    useful = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("conv_id"))
+    rows = _talk(spark, sf_dir).where("answer is not null and sources is not null").join(useful, "conv_id", "left_semi")
     path = f"{shared_dir(spark)}/train_jsonl/{uuid.uuid4().hex}"
     rows.select("conv_id", F.col("sources").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output")).write.json(path)
     return spark.read.schema("conv_id bigint, instruction string, input string, output string").json(path).drop("input")
 
 
+@query("""with l as (select conv_id, turn, unnest(string_split(regexp_replace(coalesce(text, ''), '\\. ', chr(10) || '2) ', 'g') || '?', chr(10))) s from conversations where role = 'user'),
+t as (select conv_id, turn, regexp_replace(trim(s), '^(\\d+[.)]|[-*•])\\s*', '') s from l), k as (select conv_id, turn, count(*) filter (s like '%?') n from t group by all)
+select conv_id, turn, least(n, 5)::int n from k""")
+def text_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many questions a turn asks when its sentences are numbered lines and the last is a question."""
+    said = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\. ", "\n2) "), F.lit("?"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(legal.follow_ups(said)).alias("n"))
+
+
+@query(f"""with r as (select query_id, id, rank, text, source from ({BM25_SQL}) join documents on doc_id = id where rank <= 3)
+select query_id, string_agg('[Source ' || rank || '] ' || coalesce(source, 'Unknown') || chr(10) || left(coalesce(text, ''), 300), chr(10) || chr(10) order by rank) block from r group by 1""")
+def text_source_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of every item as the block of sources of a prompt."""
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 3)
+    rows = found.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    return A.source_block(rows, ["query_id"], F.col("rank"), F.col("source"), F.col("text"))
+
+
 @query()
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_sections(table(spark, sf_dir, "documents"))

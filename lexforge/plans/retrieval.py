@@ -132,14 +132,31 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.mmr(found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), 5)
 
 
-@query(f"""with {LISTS_SQL}, b as (select query_id, id, found.score, text from found join documents on id = doc_id)
-select query_id, id, round(case when contains(lower(text), 'token') or contains(lower(text), 'licen') then score * 5.0 else score end, 6) score from b""")
+@query(f"""with {LISTS_SQL}, b as (select query_id, id, found.score, d.text, q.text q from found join documents d on doc_id = id join benchmark q on item_id = query_id),
+t as (select *, list_distinct(list_filter({tokens_sql('q')}, lambda w: length(w) > 9)) terms from b)
+select query_id, id, round(case when len(list_filter(terms, lambda w: contains(lower(text), w))) > 0 then score * 5.0 else score end, 6) score from t""")
 def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that hold a long word of their question count five times."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = bm25.search(spread(docs.select("doc_id", "text")), items, 20).select("query_id", "id", "score")
+    terms = items.select(F.col("item_id").alias("query_id"), F.filter(T.lower_tokens(F.col("text")), lambda w: F.length(w) > 9).alias("terms"))
+    joined = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(terms, "query_id")
+    return joined.select("query_id", "id", F.round(ranking.boost(F.col("text"), F.col("terms"), F.col("score")), 6).alias("score"))
+
+
+_SIMPLE = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[ \\n]'), lambda w: w != ''))"
+
+
+@query(f"""with {LISTS_SQL}, b as (select query_id, id, round(found.score, 6) score, {_SIMPLE.format('text')} w from found join documents on doc_id = id),
+f as (select * from (select *, row_number() over (partition by query_id order by score desc, id) r from b) where r = 1),
+s as (select b.query_id, b.id, 0.7 * b.score - 0.3 * case when len(list_distinct(list_concat(b.w, f.w))) = 0 then 0.0 else len(list_intersect(b.w, f.w)) / len(list_distinct(list_concat(b.w, f.w))) end::double m, b.score from b join f using (query_id) where b.id != f.id),
+p as (select query_id, id from (select *, row_number() over (partition by query_id order by round(m, 9) desc, score desc, id) r from s) where r = 1)
+select query_id, id, 1 pick from f union all select query_id, id, 2 from p""")
+def mmr_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two picks of diversity among twenty results of every item."""
     docs = table(spark, sf_dir, "documents")
-    found = bm25.search(docs, table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", "score")
-    joined = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    terms = F.array(F.lit("token"), F.lit("licen"))
-    return joined.select("query_id", "id", F.round(ranking.boost(F.col("text"), terms, F.col("score")), 6).alias("score"))
+    found = bm25.search(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", F.round("score", 6).alias("score"))
+    return ranking.mmr(found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), 2)
 
 
 @query(f"""with {LISTS_SQL},
@@ -183,10 +200,14 @@ def join_anti_ckpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.not_processed(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("select doc_id, case when length(text) > 500 then left(text, 500) || '...' else text end excerpt, row_number() over (order by doc_id) idx from documents")
+@query(f"""select query_id, rank idx, round(score, 3) score, coalesce(nullif(d.source, ''), 'doc_' || d.doc_id) as name, case when length(text) > 500 then left(text, 500) || '...' else text end excerpt from ({BM25_SQL}) r join documents d on d.doc_id = r.id""")
 def proj_format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "at")
-    return numbered.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"), (F.col("at") + 1).alias("idx"))
+    """Results as they are shown: number, score, a name or else the id, an excerpt."""
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 10)
+    rows = found.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    name = F.coalesce(F.nullif("source", F.lit("")), F.concat(F.lit("doc_"), "id"))
+    return rows.select("query_id", F.col("rank").alias("idx"), F.round(F.round("score", 6), 3).alias("score"), name.alias("name"), T.excerpt(F.col("text")).alias("excerpt"))
 
 
 @query("""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) body from pages""")
