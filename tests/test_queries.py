@@ -99,7 +99,8 @@ def test_index_recall(spark):
     rows_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id id", "embedding v")
     asked = rows_.where("id % 20 = 0").selectExpr("id query_id", "v q")
     index = ann.build(rows_)
-    assert index[0].count() == rows_.count()
+    assert index.codes.count() == rows_.count() and len(index.centres) == 44
+    assert ann.short_list(index, asked, 100, 0.65).count() <= 0.1 * asked.count() * rows_.count()
     exact = {(r.query_id, r.id) for r in ranking.vector_top_k(asked, rows_, 10).collect()}
     near = {(r.query_id, r.id) for r in ann.search(index, asked, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
