@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexforge.session import cut
 
+#: Names that are compared with every question at most, some 50 MB.
+NAMES = 500_000
+
 
 def upsert_edges(triples: DataFrame) -> DataFrame:
     """One edge a (subject, object): the last triple by ``ord`` gives relation and confidence."""
@@ -72,8 +75,10 @@ def find_entity(asked: DataFrame, names: DataFrame) -> DataFrame:
     """query_id and the id of the node an entity means: of ``asked(query_id, q)`` and ``names(id, name, ord)``.
 
     Equal but for case comes first, then a name that holds the question or is held by it; of those the first by
-    ``ord``. ``names`` is a lookup of checked size at the caller's, as the containment test has no key.
+    ``ord``. The containment test has no key, so ``names`` is broadcast; more than ``NAMES`` of them are refused.
     """
+    if names.limit(NAMES + 1).count() > NAMES:
+        raise ValueError(f"more than {NAMES} names to compare with; look entities up by words (triples.mentions)")
     low = lambda c: F.lower(F.col(c))
     match = (low("name") == low("q")) | F.contains(low("name"), low("q")) | F.contains(low("q"), low("name"))
     hits = asked.where("q != ''").join(F.broadcast(names), match)

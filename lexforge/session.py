@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(where)
         return where
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lexforge-"))
     return sc.getCheckpointDir()
