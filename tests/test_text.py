@@ -130,3 +130,13 @@ def test_json_out_of_answers(spark):
             if '"line\nbreak"' in said and opener == "{":
                 want = {"a": "line break"}
             assert (got is None) == (want is None) and (got is None or same(json.loads(got), want)), (said, opener, got, want)
+
+
+def test_a_plugged_in_scorer_sees_batches(spark):
+    from lexforge.operators import ranking
+
+    score = ranking.batches(lambda texts: texts.fillna("").str.len() / 10.0)
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * i) for i in range(2500)], "i bigint, t string").repartition(4)
+    got = {r.i: r.s for r in rows.select("i", score("t").alias("s")).collect()}
+    assert got == {i: 0.0 if i % 7 == 0 else i / 10 for i in range(2500)}
+    assert rows.limit(0).select(score("t")).count() == 0
