@@ -188,7 +188,7 @@ JSON_LITERAL = rf"^(?:{JSON_STRING}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?
 
 
 def _json_value(answer: Column, opener: str) -> Column:
-    """The JSON that begins at the first ``opener`` of an answer, as compact text; null where none can be read.
+    """The JSON that begins at the first ``opener`` of an answer, as text with one space after its marks; null where none can be read.
 
     Fences and prose around it go. Marks, strings and words are folded with a stack of open brackets and what may come
     next, up to the end of the stack or the first token that may not. A text that is cut off keeps what was whole, up to
@@ -216,7 +216,7 @@ def _json_value(answer: Column, opener: str) -> Column:
 
     def told(parts: Column) -> Column:
         def closed(end: Column) -> Column:
-            text = F.array_join(F.transform(F.slice(parts, 1, end["whole"]), lambda t: F.regexp_replace(t, r"[\n\r\t]", " ")), "")
+            text = F.array_join(F.transform(F.slice(parts, 1, end["whole"]), lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(F.regexp_replace(t, r"[\n\r\t]", " "))), "")
             return F.concat(text, F.translate(F.reverse(end["open"]), "{[", "}]"))
 
         return let(F.aggregate(parts, begin, step), closed)
