@@ -28,6 +28,8 @@ BLOCK = 1024
 SEGMENT_IDS = 1 << 17
 #: Text bytes a range (and file) aims at.
 RANGE_BYTES = 1 << 27
+#: Values up to which packing goes bit by bit; most lists of exceptions are so short.
+FEW = 512
 HEAD = np.dtype([("low", "<u4"), ("n", "<u2"), ("width", "u1"), ("high", "u1"), ("out", "<u2")])
 
 
@@ -36,6 +38,9 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     rows, n = values.shape
     if width in (8, 16, 32):
         return np.ascontiguousarray(values.astype(f"<u{width // 8}")).view("u1").reshape(rows, -1)
+    if rows * n <= FEW:
+        bits = (values[:, :, None] >> np.arange(width, dtype="<u4")).astype("u1") & 1
+        return np.packbits(bits.reshape(rows, -1), axis=1, bitorder="little")
     groups = -(-n // 8)  # eight values fill ``width`` bytes
     eight = np.zeros((rows, groups * 8), "<u8")
     eight[:, :n] = values
@@ -55,6 +60,9 @@ def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
         return np.zeros((rows, n), "<u4")
     if width in (8, 16, 32):
         return np.ascontiguousarray(packed).view(f"<u{width // 8}").reshape(rows, n).astype("<u4")
+    if rows * n <= FEW:
+        bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(rows, n, width)
+        return bits.astype("<u4") @ (np.uint32(1) << np.arange(width, dtype="<u4"))
     groups = -(-n // 8)
     padded = np.zeros((rows, groups * width), "u1")
     padded[:, : packed.shape[1]] = packed
