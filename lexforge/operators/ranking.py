@@ -136,9 +136,13 @@ def boost(text: Column, terms: Column, score: Column, factor: float = 5.0) -> Co
 
 
 def rerank(results: DataFrame, scores: DataFrame, k: int) -> DataFrame:
-    """Scores by position (query_id, pos, new_score) replace old ones; positions without keep theirs."""
+    """Scores by position (query_id, pos, new_score) replace old ones; positions without keep theirs.
+
+    Scores are compared at 9 decimals, ties go to the earlier position: copies score alike but for their last digits,
+    which follow the order of addition.
+    """
     joined = results.join(scores, ["query_id", "pos"], "left").withColumn("score", F.coalesce("new_score", "score")).drop("new_score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "pos")
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
