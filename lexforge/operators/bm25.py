@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import lower_tokens
-from lexforge.session import cut
+from lexforge.operators import postings
+from lexforge.operators.postings import B, K1
+from lexforge.session import cut, importable, written
 
-K1, B = 1.5, 0.75
-#: Distinct words of queries that are broadcast, some 64 MB; more are joined by shuffling.
+#: Words of queries, counted for each query, that every task gets, some 64 MB; more are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
+#: Hits that are broadcast at most, some 20 MB.
+BROADCAST_HITS = 250_000
 
 
 @dataclass(frozen=True)
@@ -46,33 +50,66 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best documents a query; scores of 0 or less are left out.
 
-    Only documents with a term of some query are counted by term: the queries' terms (bounded by the
-    queries) cut the exploded words before the shuffle, while n, avgdl and df stay those of the whole
-    corpus. ``allowed`` (a table of ids) restricts what is ranked, not the statistics.
+    Texts are tokenised once, in place, and kept as numbers of the queries' terms with their counts (``postings``); no
+    word is shuffled. A task scores its documents for all queries and hands on the k best of each, so what is shuffled
+    grows with tasks and queries, not with their product with the documents. Rows that share an id, or have none, count as
+    one document and are brought together first. More than ``BROADCAST_TERMS`` words of queries are joined by shuffling.
+    ``allowed`` (a table of ids) restricts what is ranked, not the statistics.
     """
-    q = query_terms(queries, query_id, text_col)
-    wanted = cut(q.select("term").distinct())
-    few = wanted.count() <= BROADCAST_TERMS
-    sized = docs.select(F.col(doc_id).alias("id"), lower_tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    if few:
-        # One row a document without a term beside its words, so that texts are tokenised once; none is shuffled by a null.
-        words = sized.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-        known = words.join(F.broadcast(wanted.withColumn("known", F.lit(True))), "term", "left").where("known or term is null")
-        kept = cut(known.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-        counted, postings = kept.where("term is null").select("dl", F.col("tf").alias("docs")), kept.where("term is not null")
-    else:
-        counted = sized.select("dl", F.lit(1).alias("docs"))
-        words = sized.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        postings = cut(words.join(wanted, "term", "left_semi"))
-    corpus = counted.agg(F.sum("docs").alias("n"), (F.sum(F.col("dl") * F.col("docs")) / F.sum("docs")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    q = cut(query_terms(queries, query_id, text_col))
+    sized = docs.select(F.col(doc_id).alias("id"), lower_tokens(F.col(text_col)).alias("tokens"))
+    if q.count() > BROADCAST_TERMS:
+        return _search_by_shuffle(sized, q, k, allowed)
+    importable(docs.sparkSession)
+    asked = q.toArrow()
+    kind = dict(sized.dtypes)["id"]
+    terms = asked["term"].combine_chunks().unique()
+    packed = written(sized.mapInArrow(postings.pack(terms), f"id {kind}, dl bigint, terms array<int>, tfs array<int>"))
+    n, total = packed.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    rows = packed.select("id", "terms", "tfs", F.array_repeat("dl", F.size("terms")).alias("dls"))
+    again = cut(packed.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("again")))
+    if not again.isEmpty():
+        entries = packed.join(again, F.col("id").eqNullSafe(F.col("again"))).select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+        entries = entries.groupBy("id", "dl", F.col("p.terms").alias("term")).agg(F.sum("p.tfs").cast("int").alias("tf"))
+        whole = entries.groupBy("id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("p")).select("id", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+        rows = written(rows.join(again, F.col("id").eqNullSafe(F.col("again")), "left_anti").unionByName(whole))
+    df = rows.select(F.explode("terms").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row a term
+    known = pa.table({"term": terms.take(df["at"].combine_chunks()), "df": df["df"]})
+    weights = postings.Weights.of(asked, known, n, total / n if n else 0.0)
     if allowed is not None:
-        postings = postings.join(allowed, "id", "left_semi")
+        rows = rows.join(allowed, "id", "left_semi")
+    found = rows.mapInArrow(postings.best(weights, k), f"query_id {dict(q.dtypes)['query_id']}, id {kind}, score double")
+    return cut(top_k(found, k))
+
+
+def _search_by_shuffle(sized: DataFrame, q: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """``search`` for any number of queries: words and scores of all pairs are shuffled."""
+    wanted = q.select("term").distinct()
+    counted = sized.select(F.size("tokens").alias("dl"))
+    words = sized.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = cut(words.join(wanted, "term", "left_semi"))
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if allowed is not None:
+        held = held.join(allowed, "id", "left_semi")
     weights = q.join(df, "term").join(F.broadcast(corpus), how="cross")
     weights = weights.select("query_id", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
-    scores = postings.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * share).alias("score"))
-    return top_k(scores.where("score > 0"), k)
+    scores = held.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * share).alias("score"))
+    return cut(top_k(scores.where("score > 0"), k))
+
+
+def with_fields(hits: DataFrame, docs: DataFrame, key: str = "id", how: str = "inner") -> DataFrame:
+    """``hits`` joined with the rows of ``docs`` of the same ``key``, texts of other documents not shuffled.
+
+    Up to ``BROADCAST_HITS`` hits are broadcast, so that only documents that were found leave their task;
+    ``hits`` should be materialised.
+    """
+    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    if few and how == "inner":
+        return docs.join(F.broadcast(hits), key).select(*hits.columns, *[c for c in docs.columns if c != key])
+    found = docs.join(F.broadcast(hits.select(key).distinct()), key, "left_semi") if few else docs
+    return hits.join(found, key, how)
 
 
 def field_scores(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
