@@ -9,7 +9,7 @@ from lexforge.functions import text as T
 from lexforge.functions import legal as L
 from lexforge.operators import bm25, chunking, filters, ranking, scoring
 from lexforge.operators.numbering import number
-from lexforge.session import spread, table
+from lexforge.session import cut, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -140,7 +140,7 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = bm25.search(spread(docs.select("doc_id", "text")), items, 20).select("query_id", "id", "score")
     terms = items.select(F.col("item_id").alias("query_id"), F.filter(T.lower_tokens(F.col("text")), lambda w: F.length(w) > 9).alias("terms"))
-    joined = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(terms, "query_id")
+    joined = bm25.with_fields(cut(found.join(terms, "query_id")), docs.select(F.col("doc_id").alias("id"), "text"))
     return joined.select("query_id", "id", F.round(ranking.boost(F.col("text"), F.col("terms"), F.col("score")), 6).alias("score"))
 
 
