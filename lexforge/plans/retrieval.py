@@ -129,7 +129,7 @@ def weighted_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = bm25.search(docs, table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", "score")
-    return ranking.mmr(found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), 5)
+    return ranking.mmr(bm25.with_fields(found, docs.select(F.col("doc_id").alias("id"), "text")), 5)
 
 
 @query(f"""with {LISTS_SQL}, b as (select query_id, id, found.score, d.text, q.text q from found join documents d on doc_id = id join benchmark q on item_id = query_id),
@@ -156,7 +156,7 @@ def mmr_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two picks of diversity among twenty results of every item."""
     docs = table(spark, sf_dir, "documents")
     found = bm25.search(spread(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"), 20).select("query_id", "id", F.round("score", 6).alias("score"))
-    return ranking.mmr(found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), 2)
+    return ranking.mmr(bm25.with_fields(found, docs.select(F.col("doc_id").alias("id"), "text")), 2)
 
 
 @query(f"""with {LISTS_SQL},

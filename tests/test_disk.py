@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.01"
 #: Times the documents' size that a query may shuffle and write.
 TIMES = {
     "keyword_boost": 2,
+    "mmr_pair": 6,
     "rerank_apply": 1,
 }
 
