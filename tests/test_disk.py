@@ -13,6 +13,7 @@ TIMES = {
     "keyword_boost": 2,
     "mmr_pair": 6,
     "rerank_apply": 1,
+    "text_source_block": 2,
 }
 
 
