@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.01"
 TIMES = {
     "keyword_boost": 2,
     "mmr_pair": 6,
+    "proj_format_sources": 2,
     "rerank_apply": 1,
     "text_source_block": 2,
 }
