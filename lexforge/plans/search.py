@@ -157,15 +157,16 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     words = bm25.search(docs, items, 50).select("query_id", "id", "score")
-    asked = items.join(rows, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    numbers = cut(items.select(F.col("item_id").alias("id")))
+    asked = bm25.with_fields(numbers, rows).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     near = ranking.vector_top_k(asked, rows, 50).select("query_id", "id", "score")
     x = words.select("query_id", "id", ranking.min_max(words, ["query_id"]).alias("sb"))
     y = near.select("query_id", "id", ranking.min_max(near, ["query_id"]).alias("sv"))
     kind = scoring.query_class(F.col("text"))
     weights = items.select(F.col("item_id").alias("query_id"), *[w.alias(n) for n, w in zip(("wb", "wv"), scoring.query_weights(kind))], L.boost_terms(F.col("text")).alias("terms"))
     both = x.join(y, ["query_id", "id"], "full_outer").join(weights, "query_id")
-    fused = both.select("query_id", "id", "terms", (F.col("wb") * F.coalesce("sb", F.lit(0.0)) + F.col("wv") * F.coalesce("sv", F.lit(0.0))).alias("score"))
-    held = fused.join(docs.select(F.col("doc_id").alias("id"), "text", "lang", "source"), "id", "left")
+    fused = cut(both.select("query_id", "id", "terms", (F.col("wb") * F.coalesce("sb", F.lit(0.0)) + F.col("wv") * F.coalesce("sv", F.lit(0.0))).alias("score")))
+    held = bm25.with_fields(fused, docs.select(F.col("doc_id").alias("id"), "text", "lang", "source"), how="left")
     return held.select("query_id", "id", "text", L.boosted(F.coalesce("text", F.lit("")), [F.col("lang"), F.col("source")], F.col("terms"), F.col("score")).alias("score"))
 
 
@@ -178,9 +179,9 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hybrid_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval to its end: fifty fused candidates a question, ten of them chosen for score and diversity."""
-    fused = _hybrid(spark, sf_dir)
-    best = _top(fused, 50).join(fused.select("query_id", "id", "text"), ["query_id", "id"])
-    return ranking.mmr(best.select("query_id", "id", "score", "text"), 10)
+    best = cut(_top(_hybrid(spark, sf_dir), 50))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return ranking.mmr(bm25.with_fields(best, texts, how="left").select("query_id", "id", "score", "text"), 10)
 
 
 @query(f"""with t as (select query_id, avg(score) m from ({BM25_SQL}) group by 1) select query_id, round(m, 6) avg_score, case when m > 0.8 then 'high' when m > 0.6 then 'medium' else 'low' end as label from t""")

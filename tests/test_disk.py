@@ -10,6 +10,7 @@ from lexforge.operators import bm25, ranking
 SF = "/root/testdata/sf0.01"
 #: Times the documents' size that a query may shuffle and write.
 TIMES = {
+    "hybrid_mmr": 10,
     "keyword_boost": 2,
     "mmr_pair": 6,
     "proj_format_sources": 2,
