@@ -106,7 +106,7 @@ def vector_graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the item and its first passages."""
     docs, items, entities = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), _entities(spark, sf_dir)
     found = bm25.search(docs, items, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
-    hits = cut(found.join(docs.withColumnRenamed("doc_id", "id"), "id").select("query_id", "rank", "score", "text"))
+    hits = cut(bm25.with_fields(found, docs.withColumnRenamed("doc_id", "id")).select("query_id", "rank", "score", "text"))
     links = cut(triples.linked(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), hits, entities))
     edges = cut(triples.edges_of(_triples(spark, sf_dir)))
     texts = triples.described(triples.around(edges, links.select(F.col("name").alias("seed")), 2))
@@ -130,7 +130,7 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of a search over every item, worth what excerpts of its third to fifth best documents say of a sub-question."""
     docs, items = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
     found = bm25.search(docs, items, 5).where("rank > 2").select("query_id", "id", "rank")
-    texts = found.join(docs.withColumnRenamed("doc_id", "id"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 500).alias("t")))).alias("e"))
+    texts = bm25.with_fields(found, docs.withColumnRenamed("doc_id", "id")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 500).alias("t")))).alias("e"))
     roots = items.select(F.col("item_id").alias("root"), F.coalesce("text", F.lit("")).alias("question")).join(texts.withColumnRenamed("query_id", "root"), "root", "left")
     roots = roots.select("root", "question", F.coalesce(F.transform("e", lambda x: x["t"]), F.array().cast("array<string>")).alias("evidence"))
     return treesearch.search(roots, sentences, thirds, lambda q: scoring.evidence_heuristic(F.col("evidence"), q), rounds=12)
