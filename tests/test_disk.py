@@ -5,11 +5,12 @@ import os
 import pytest
 
 from lexforge import registry
-from lexforge.operators import bm25, ranking
+from lexforge.operators import bm25, bm25_index, ranking
 
 SF = "/root/testdata/sf0.01"
 #: Times the documents' size that a query may shuffle and write.
 TIMES = {
+    "bm25_stored_stats": 8,
     "hybrid_mmr": 10,
     "keyword_boost": 2,
     "mmr_pair": 6,
@@ -56,3 +57,18 @@ def test_ids_that_repeat_count_as_one_document(spark, monkeypatch):
     got = found(2), found(9)
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", -1)
     assert got == (found(2), found(9)) and len(got[1]) > len(got[0])
+
+
+def test_a_stored_index_brings_rows_of_an_id_together(spark, tmp_path, monkeypatch):
+    """Whatever tasks they lie in, and where ranges are shorter than the rows of an id."""
+    monkeypatch.setattr(bm25_index, "RANGE_DOCS", 2)
+    rows = [(1, "a b c"), (1, "a x y"), (1, "a a b b c"), (2, "a b"), (None, "a c"), (None, "b c"), (3, "z z"), (4, None), (5, "a"), (6, "b a b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "a b"), (2, "z"), (3, "c a"), (4, "nowhere")], "item_id bigint, text string")
+    index = bm25_index.build(docs, str(tmp_path / "i"))
+    found = lambda hits: sorted((r.query_id or 0, r["rank"], r.id or 0, round(r.score, 9)) for r in hits.collect())
+    assert found(bm25_index.search(index, asked, 3).hits) == found(bm25.search(docs, asked, 3))
+    assert index.corpus().first()["n"] == len(rows)
+    want = found(bm25_index.search(index, asked, 2).hits)
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 2)
+    assert found(bm25_index.search(index, asked, 2).hits) == want
