@@ -10,6 +10,7 @@ from lexforge.operators import bm25, bm25_index, ranking
 SF = "/root/testdata/sf0.01"
 #: Times the documents' size that a query may shuffle and write.
 TIMES = {
+    "bm25_stored": 12,
     "bm25_stored_stats": 8,
     "hybrid_mmr": 10,
     "keyword_boost": 2,
