@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import lower_tokens
 from lexforge.operators import bm25_index
 from lexforge.operators.answers import stop_reason
+from lexforge.operators.bm25 import with_fields
 from lexforge.session import cut
 
 
@@ -52,7 +53,7 @@ def retrieve(index: bm25_index.StoredIndex, questions: DataFrame, k: int = 3, mo
     evidence = hops = None
     for hop in range(1, most_hops + 1):
         hits = bm25_index.search(index, going, k, "query_id", "query").hits
-        hits = hits.join(index.documents.select("id", "dl", "content"), "id")
+        hits = cut(with_fields(hits, index.documents.select("id", "dl", "content")))
         # Of copies found together the best ranked stays.
         new = hits.groupBy("query_id", "content").agg(F.min_by(F.struct("id", "range", "dl", "rank"), "rank").alias("r")).select("query_id", "content", "r.*")
         if evidence is not None:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge import registry
 from lexforge.operators import bm25, bm25_index, ranking
@@ -73,3 +74,16 @@ def test_a_stored_index_brings_rows_of_an_id_together(spark, tmp_path, monkeypat
     want = found(bm25_index.search(index, asked, 2).hits)
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 2)
     assert found(bm25_index.search(index, asked, 2).hits) == want
+
+
+def test_hops_look_words_up_without_a_shuffle_of_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, None)], "doc_id bigint, text string")
+    index = bm25_index.build(docs, str(tmp_path / "i"))
+    pairs = index.documents.select(F.lit(7).alias("query_id"), "id", "range", F.lit("beta").alias("term"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = bm25_index.holding(index, pairs)
+        assert sorted(r.id for r in held.collect()) == [1, 2]
+        assert "SortMergeJoin" not in held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
